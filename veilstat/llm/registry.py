@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from veilstat.llm.simhash_index import op9_simhash
+from veilstat.llm.suffix_dedup import op10_suffix_dedup
 from veilstat.llm.token_fst import op2_token_counts
+from veilstat.llm.toxicity import op5_toxicity
 
 
 def queries() -> dict:
     return {
         "op2_token_counts": op2_token_counts,
+        "op5_toxicity": op5_toxicity,
         "op9_simhash": op9_simhash,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
