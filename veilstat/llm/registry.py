@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from veilstat.llm.chat_tree import op7_chat_prefix_tree
+from veilstat.llm.mpeg_audio import op6_mpeg_audio
 from veilstat.llm.simhash_index import op9_simhash
 from veilstat.llm.suffix_dedup import op10_suffix_dedup
 from veilstat.llm.token_fst import op2_token_counts
@@ -12,6 +14,8 @@ def queries() -> dict:
     return {
         "op2_token_counts": op2_token_counts,
         "op5_toxicity": op5_toxicity,
+        "op6_mpeg_audio": op6_mpeg_audio,
+        "op7_chat_prefix_tree": op7_chat_prefix_tree,
         "op9_simhash": op9_simhash,
         "op10_suffix_dedup": op10_suffix_dedup,
     }
