@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from veilstat.llm.chat_tree import op7_chat_prefix_tree
+from veilstat.llm.line_dedup import op1_line_dedup
 from veilstat.llm.mpeg_audio import op6_mpeg_audio
 from veilstat.llm.simhash_index import op9_simhash
 from veilstat.llm.suffix_dedup import op10_suffix_dedup
@@ -12,6 +13,7 @@ from veilstat.llm.toxicity import op5_toxicity
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_token_counts": op2_token_counts,
         "op5_toxicity": op5_toxicity,
         "op6_mpeg_audio": op6_mpeg_audio,

@@ -192,41 +192,50 @@ def _links(batches, radius: int):
         yield solve(held)
 
 
-def near_links(codes: DataFrame, scratch: Scratch, radius: int = RADIUS, node_rows: int = NODE_ROWS, tag: str = "index") -> DataFrame:
-    """Links (a, b) that connect all rows of `codes` (fp distinct, id) within `radius` bits of each other; ids of linked sets' smallest rows as b.
+def deal(codes: DataFrame, scratch: Scratch, radius: int, node_rows: int = NODE_ROWS, tag: str = "index") -> DataFrame:
+    """The rows of `codes` (fp and any others) under each of their upper nodes (mask, pattern); two rows within `radius` bits share one.
 
-    Rows with one id must not recur. No link is lost: see the module's note.
+    A node with over `node_rows` rows is dealt out again by more of its bits, until all but `radius` bits are fixed: then all its rows link.
     """
-    spark = codes.sparkSession
-    gray = F.col("fp")
-    for s in (1, 2, 4, 8, 16, 32):
-        gray = gray.bitwiseXOR(F.shiftrightunsigned(gray, s))
-    codes = codes.select("fp", "id", gray.alias("gray"))
 
-    def placed(df: DataFrame, masks: list[int]) -> DataFrame:
-        return df.select("fp", "id", "gray", F.explode(F.array(*[F.lit(_signed(m)).cast("long") for m in masks])).alias("mask")).withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask")))
+    def placed(df: DataFrame, masks) -> DataFrame:
+        return df.withColumn("mask", F.explode(masks)).withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask")))
 
-    level, links = placed(codes, block_masks(radius)), []
+    def array(masks: list[int]):
+        return F.array(*[F.lit(_signed(m)).cast("long") for m in masks])
+
+    level, out = placed(codes, array(block_masks(radius))), []
     for step in range(12):
         sizes = level.groupBy("mask", "pattern").agg(F.count("*").alias("n")).where(f"n > {node_rows}")
-        hot = scratch.keep(sizes, f"{tag}-hot{step}")
+        hot = scratch.keep(sizes.select("mask", "pattern"), f"{tag}-hot{step}")
         masks = [r[0] for r in hot.select("mask").distinct().collect()]  # at most all masks of this level
-        deep = {m: deeper_masks(m & (1 << 64) - 1, radius) for m in masks}
-        deep = {m: d for m, d in deep.items() if bin(m & (1 << 64) - 1).count("1") < 64 - radius}
+        deep = {m: deeper_masks(m & (1 << 64) - 1, radius) for m in masks if bin(m & (1 << 64) - 1).count("1") < 64 - radius}
         if not deep:
-            links.append(level)
+            out.append(level)
             break
         hot = hot.where(F.col("mask").isin(list(deep)))
-        links.append(level.join(hot, ["mask", "pattern"], "left_anti").select("fp", "id", "gray", "mask", "pattern"))
-        child = F.create_map(*[x for m, d in deep.items() for x in (F.lit(m).cast("long"), F.array(*[F.lit(_signed(v)).cast("long") for v in d]))])
-        over = level.join(hot, ["mask", "pattern"], "left_semi")
-        level = scratch.keep(over.select("fp", "id", "gray", F.explode(child[F.col("mask")]).alias("mask")).withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask"))), f"{tag}-deep{step}")
-    rows = links[0]
-    for x in links[1:]:
+        out.append(level.join(hot, ["mask", "pattern"], "left_anti").select(level.columns))
+        child = F.create_map(*[x for m, d in deep.items() for x in (F.lit(m).cast("long"), array(d))])
+        over = level.join(hot, ["mask", "pattern"], "left_semi").select(level.columns)
+        level = scratch.keep(placed(over, child[F.col("mask")]), f"{tag}-deep{step}")
+    rows = out[0]
+    for x in out[1:]:
         rows = rows.unionByName(x)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "mask", "pattern").sortWithinPartitions("mask", "pattern", "gray").mapInArrow(
-        lambda it: _links(it, radius), "a long, b long").distinct()
+    return rows
+
+
+def near_links(codes: DataFrame, scratch: Scratch, radius: int = RADIUS, node_rows: int = NODE_ROWS, tag: str = "index") -> DataFrame:
+    """Links (a, b) that connect all rows of `codes` (fp, id) within `radius` bits of each other; b is the smallest id of a linked set.
+
+    No link is lost: see the module's note.
+    """
+    gray = F.col("fp")
+    for s in (1, 2, 4, 8, 16, 32):
+        gray = gray.bitwiseXOR(F.shiftrightunsigned(gray, s))
+    rows = deal(codes.select("fp", "id"), scratch, radius, node_rows, tag)
+    parts = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "mask", "pattern").sortWithinPartitions("mask", "pattern", gray)
+    return rows.mapInArrow(lambda it: _links(it, radius), "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, text: str = "text", radius: int = RADIUS, width: int = WIDTH) -> DataFrame:
