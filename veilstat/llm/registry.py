@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from veilstat.llm.chat_tree import op7_chat_prefix_tree
 from veilstat.llm.decontamination import OP4_SQL, op4_decontamination
+from veilstat.llm.kn_quality import op8_kn_quality
 from veilstat.llm.line_dedup import op1_line_dedup
 from veilstat.llm.mpeg_audio import op6_mpeg_audio
 from veilstat.llm.packing import op3_best_fit_packing
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op5_toxicity": op5_toxicity,
         "op6_mpeg_audio": op6_mpeg_audio,
         "op7_chat_prefix_tree": op7_chat_prefix_tree,
+        "op8_kn_quality": op8_kn_quality,
         "op9_simhash": op9_simhash,
         "op10_suffix_dedup": op10_suffix_dedup,
     }
