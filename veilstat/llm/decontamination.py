@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilstat.llm.scratch import Scratch
+
 WIDTH = 8
 SHARE = 0.5
 LITERALS = 4  # of a full window; shorter windows need half of their tokens literal
@@ -30,25 +32,31 @@ TOKEN = "?\\p{L}[\\p{L}\\p{M}'’-]*|[0-9]+(?:[.,][0-9]+)*"
 
 
 def _windows(rows: DataFrame, key: str, widths: list[int], literals_only: bool) -> DataFrame:
-    """(key, width, at, hash, slots) of every window; slots are the values behind its placeholders, typed, or null if it has none."""
-    marked = F.regexp_replace("text", MARK, f"$1{NAME}$2")
-    raw = rows.select(F.col(key).alias("key"), F.regexp_extract_all(marked, F.lit(TOKEN), F.lit(0)).alias("raw"))
+    """(key, width, hash, slots) of every window; slots are the values behind its placeholders, typed, or null if it has none."""
+    marked = F.lower(F.regexp_replace("text", MARK, f"$1{NAME}$2"))
+    rows = rows.select(F.col(key).alias("key"), marked.alias("marked"))
+    # most texts have neither numbers nor names: their words are their template, and no window has slots
+    rows = rows.select("key", (~F.col("marked").rlike(f"[0-9{NAME}]")).alias("plain"), F.regexp_extract_all("marked", F.lit(TOKEN), F.lit(0)).alias("raw"))
     units = F.array(*[F.lit(u) for u in UNITS])
     number = lambda x: F.substring(x, 1, 1).between("0", "9")
-    lower = raw.select("key", F.transform("raw", lambda x: F.lower(x)).alias("raw"))
-    template = F.transform("raw", lambda x, i: F.when(number(x), F.lit("#n")).when(F.substring(x, 1, 1) == NAME, F.lit("#p")).when(
+    typed = F.transform("raw", lambda x, i: F.when(number(x), F.lit("#n")).when(F.substring(x, 1, 1) == NAME, F.lit("#p")).when(
         (i > 0) & (F.char_length(x) <= 10) & number(F.get("raw", i - 1)) & F.array_contains(units, x), F.lit("#u")).otherwise(x))
-    rows = lower.select("key", "raw", template.alias("t"))
+    rows = rows.select("key", "plain", "raw", F.when(F.col("plain"), F.col("raw")).otherwise(typed).alias("t"))
+    rows = rows.withColumn("th", F.transform("t", lambda x: F.xxhash64(x)))
+    none = F.lit(None).cast("array<string>")
 
     def of(width: int):
+        hashed = lambda i: F.xxhash64(F.slice("th", i + 1, width)).alias("hash")
+
         def window(i):
-            text = F.array_join(F.slice("t", i + 1, width), " ")
             slots = F.filter(F.transform(F.sequence(i, i + width - 1), lambda j: F.when(F.substring(F.get("t", j), 1, 1) == "#", F.concat(F.get("t", j), F.get("raw", j)))), lambda v: v.isNotNull())
-            return F.struct(F.lit(width).alias("width"), i.alias("at"), F.xxhash64(text).alias("hash"), F.when(F.contains(text, F.lit("#")), slots).alias("slots"))
+            return F.struct(hashed(i), F.when(F.exists(F.slice("t", i + 1, width), lambda v: F.substring(v, 1, 1) == "#"), slots).otherwise(none).alias("slots"))
 
-        return F.when(F.size("t") >= width, F.transform(F.sequence(F.lit(0), F.size("t") - width), window)).otherwise(F.array())
+        places = F.sequence(F.lit(0), F.size("t") - width)
+        easy = F.transform(places, lambda i: F.struct(hashed(i), none.alias("slots")))
+        return F.when(F.size("t") < width, F.array()).when(F.col("plain"), easy).otherwise(F.transform(places, window))
 
-    parts = [rows.select("key", F.explode(of(w)).alias("w")).select("key", "w.*") for w in widths]
+    parts = [rows.select("key", F.explode(of(w)).alias("w")).select("key", F.lit(w).alias("width"), "w.*") for w in widths]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -58,7 +66,7 @@ def _windows(rows: DataFrame, key: str, widths: list[int], literals_only: bool)
 
 
 def _item_widths(benchmark: DataFrame) -> DataFrame:
-    marked = F.regexp_replace("text", MARK, f"$1{NAME}$2")
+    marked = F.lower(F.regexp_replace("text", MARK, f"$1{NAME}$2"))
     n = F.size(F.regexp_extract_all(marked, F.lit(TOKEN), F.lit(0)))
     return benchmark.where("text is not null").select("item_id", "text", F.least(n, F.lit(WIDTH)).alias("item_width")).where(f"item_width >= {LEAST}")
 
@@ -78,6 +86,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
         b = F.broadcast(b)
     d = _windows(docs.where("text is not null").select("doc_id", "text"), "doc_id", widths, False)
     hits = d.join(b, ["width", "hash"]).select(F.col("key").alias("doc_id"), "item_id", "width", "hash", "slots", "want").distinct()
+    hits = Scratch(docs.sparkSession, "templates").keep(hits, "hits")  # two steps read them; the windows are made once
     # value -> value of each pair of document and item: the commonest image, then the least
     pairs = hits.where("slots is not null and size(slots) = size(want)").select("doc_id", "item_id", F.explode(F.arrays_zip(F.col("want").alias("want"), F.col("slots").alias("slots"))).alias("p"))
     pairs = pairs.groupBy("doc_id", "item_id", F.col("p.want").alias("v"), F.col("p.slots").alias("w")).agg(F.count("*").alias("n"))
@@ -100,7 +109,7 @@ _UNITS_SQL = ", ".join(f"'{u}'" for u in UNITS)
 
 def _oracle_part(table: str, key: str) -> str:
     return f"""
-{table}_r AS (SELECT {key} AS key, list_transform(regexp_extract_all(regexp_replace(text, '([\\p{{Ll}}\\p{{N}},;:] )(\\p{{Lu}})', '\\1' || chr(57344) || '\\2', 'g'), chr(57344) || '?\\p{{L}}[\\p{{L}}\\p{{M}}''’-]*|[0-9]+(?:[.,][0-9]+)*'), lambda x: lower(x)) AS raw FROM {table} WHERE text IS NOT NULL),
+{table}_r AS (SELECT {key} AS key, regexp_extract_all(lower(regexp_replace(text, '([\\p{{Ll}}\\p{{N}},;:] )(\\p{{Lu}})', '\\1' || chr(57344) || '\\2', 'g')), chr(57344) || '?\\p{{L}}[\\p{{L}}\\p{{M}}''’-]*|[0-9]+(?:[.,][0-9]+)*') AS raw FROM {table} WHERE text IS NOT NULL),
 {table}_x AS (SELECT DISTINCT key, raw FROM {table}_r),
 {table}_t AS (SELECT key, raw, list_transform(raw, lambda x, i: CASE WHEN x[1] BETWEEN '0' AND '9' THEN '#n' WHEN x[1] = chr(57344) THEN '#p' WHEN i > 1 AND length(x) <= 10 AND raw[i - 1][1] BETWEEN '0' AND '9' AND list_contains([{_UNITS_SQL}], x) THEN '#u' ELSE x END) AS t FROM {table}_x),
 {table}_w AS (SELECT key, raw, t, unnest(range(1, len(t) - {WIDTH} + 2)) AS i FROM {table}_t),
