@@ -5,8 +5,9 @@ with the text after it up to a window's length, is a phrase with its lookahead.
 Suffix order is needed to the depth of a window only, so it is kept as classes: a phrase that occurs twice settles
 all its windows at once (the dictionary); phrases that occur once and share 100 bytes beside the trigger with a different phrase are
 where repeats begin and end (the parse), and the suffixes of those phrases alone are ordered. A group of such
-phrases is sorted in one task while it has at most GROUP_ROWS occurrences; the windows of larger groups are counted by a distributed
-aggregation. Both are exact, so no group is capped. Classes are compared by 64-bit hashes.
+phrases is sorted in one task while it has at most GROUP_ROWS occurrences. The phrases of larger groups are cut into intervals of STEP windows: an interval
+that recurs is settled whole, and only windows of intervals that share their middle with a different one are counted, by distributed
+aggregations. Both are exact, so no group is capped. Classes are compared by 64-bit hashes.
 
 Text identity is a pair of 64-bit hashes, so copies of a text are parsed but compared once. Nothing is collected to the driver.
 """
@@ -26,6 +27,7 @@ from veilstat.llm.scratch import Scratch
 
 WINDOW = 200
 GROUP_ROWS = 2048
+STEP = 16
 RUNS = 20  # bits of a phrase's number in its text
 TEXTS = 20  # bits of a text's number in its partition
 
@@ -97,7 +99,7 @@ SETTLED, FIRST, LEFT, RIGHT, LEFT_HOT, RIGHT_HOT = 1, 2, 4, 8, 16, 32
 
 def _diverge(batches, window: int):
     """Spans of settled phrases, and the phrases (or in hot groups the windows) where repeats begin and end."""
-    names = ["kind", "h1", "h2", "tkey", "key", "rid", "at", "lo", "hi", "settled", "data"]
+    names = ["kind", "h1", "h2", "tkey", "key", "rid", "core", "at", "lo", "hi", "settled", "data"]
     done, half = None, window // 2
     for b in batches:
         rows: list[tuple] = []
@@ -113,7 +115,7 @@ def _diverge(batches, window: int):
             np.bitwise_or.at(flag, told >> 6, told & 63)
             hit = flag & SETTLED > 0
             for s, e in zip(*(x.tolist() for x in _merged(p.first[hit], p.last[hit], window))):
-                rows.append((0, h1, h2, tkey, None, None, None, s, e, None, None))
+                rows.append((0, h1, h2, tkey, None, None, None, None, s, e, None, None))
             open_ = (flag & (LEFT | RIGHT) > 0) & (~hit | (flag & FIRST > 0))
             for j in np.flatnonzero(open_).tolist():
                 f, l, a, g = int(p.first[j]), int(p.last[j]), int(p.at[j]), int(flag[j])
@@ -123,10 +125,13 @@ def _diverge(batches, window: int):
                     if not use or lo > hi:
                         continue
                     if hot:
-                        w = p.hashed.of(np.arange(a - hi, a - lo + 1), np.arange(a - hi, a - lo + 1) + window).view(np.int64).tolist()
-                        rows += [(2, h1, h2, tkey, w[hi - x], rid, a, x, x, settled, None) for x in range(lo, hi + 1)]
+                        for j0 in range(lo // STEP, hi // STEP + 1):
+                            x0, x1 = max(lo, j0 * STEP), min(hi, j0 * STEP + STEP - 1)
+                            ends = np.array([a - x1, a - j0 * STEP]), np.array([a - x0 + window, a - j0 * STEP - STEP + 1 + window])
+                            union, core = p.hashed.of(*ends).view(np.int64).tolist()  # of all bytes of its windows; of those that windows at any of its offsets have
+                            rows.append((2, h1, h2, tkey, union, rid, core, a, x0, x1, settled, data[a - x1:a - x0 + window].tobytes()))
                     else:
-                        rows.append((1, h1, h2, tkey, int(key.view(np.int64)), rid, a, lo, hi, settled, data[a - hi:a - lo + window].tobytes()))
+                        rows.append((1, h1, h2, tkey, int(key.view(np.int64)), rid, None, a, lo, hi, settled, data[a - hi:a - lo + window].tobytes()))
             if len(rows) > 4096:
                 yield _batch(rows, names)
                 rows = []
@@ -134,7 +139,7 @@ def _diverge(batches, window: int):
             yield _batch(rows, names)
 
 
-_TYPES = [pa.int8(), *[pa.int64()] * 5, *[pa.int32()] * 3, pa.bool_(), pa.binary()]
+_TYPES = [pa.int8(), *[pa.int64()] * 6, *[pa.int32()] * 3, pa.bool_(), pa.binary()]
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -193,6 +198,18 @@ def _order_groups(batches, window: int):
         yield out
 
 
+def _windows(batches, window: int):
+    """Each window of some intervals, by its trigger's offset and hash."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        hashes = [Hashed(np.frombuffer(d.as_buffer(), np.uint8)).every(window) for d in b.column("data")]
+        n = np.array([len(h) for h in hashes])
+        row = pa.array(np.repeat(np.arange(b.num_rows), n))
+        x = np.repeat(b.column("hi").to_numpy(), n) - np.concatenate([np.arange(k) for k in n])
+        yield pa.RecordBatch.from_arrays([*[b.column(c).take(row) for c in ("h1", "h2", "rid", "at")], pa.array(x.astype(np.int32)), b.column("many").take(row), pa.array(np.concatenate(hashes).view(np.int64))], names=["h1", "h2", "rid", "at", "x", "many", "w"])
+
+
 def repeated_spans(docs: DataFrame, scratch: Scratch, text: str = "text", window: int = WINDOW) -> DataFrame:
     """(h1, h2, spans): for each text with bytes to remove, by its two hashes, the merged spans [lo, hi) in order of lo."""
     spark = docs.sparkSession
@@ -219,7 +236,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text: str = "text", window
     known = scratch.keep(texts.withColumn("number", F.shiftright("tkey", RUNS)).join(told, "number").select("h1", "h2", "tkey", "told"), "known")
     scratch.drop("texts", "told")
     parts = own.join(known, ["h1", "h2"]).select("data", "h1", "h2", "tkey", "told").mapInArrow(
-        lambda it: _diverge(it, window), "kind byte, h1 long, h2 long, tkey long, key long, rid long, at int, lo int, hi int, settled boolean, data binary")
+        lambda it: _diverge(it, window), "kind byte, h1 long, h2 long, tkey long, key long, rid long, core long, at int, lo int, hi int, settled boolean, data binary")
     parts = scratch.keep(parts, "parts")
     scratch.drop("known")
     gc()
@@ -227,13 +244,23 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text: str = "text", window
     settled = parts.where("kind = 0").select("h1", "h2", "lo", "hi")
     cold = parts.where("kind = 1").select("key", "h1", "h2", "rid", "at", "lo", "hi", "settled", "data").repartition(n, "key").sortWithinPartitions("key")
     cold = cold.mapInArrow(lambda it: _order_groups(it, window), "h1 long, h2 long, lo int, hi int")
-    hot = parts.where("kind = 2").select("key", "h1", "h2", "rid", "at", "lo", "settled")
-    again = hot.groupBy("key", "lo").agg(F.min("rid").alias("a"), F.max("rid").alias("b"), F.bool_or("settled").alias("s")).where("a <> b or s").select("key", "lo")
-    again = scratch.keep(again, "again")
-    hot = hot.where("not settled").join(again, ["key", "lo"], "left_semi").select("h1", "h2", (F.col("at") - F.col("lo")).alias("lo"), (F.col("at") - F.col("lo") + window).alias("hi"))
+    hot = parts.where("kind = 2").drop("kind", "tkey").withColumn("j", F.floor(F.col("lo") / STEP))
+    place = ["h1", "h2", (F.col("at") - F.col("hi")).alias("lo"), (F.col("at") - F.col("lo") + window).alias("hi")]
+    again = hot.groupBy("key", "lo", "hi").agg(F.min("rid").alias("a"), F.max("rid").alias("b"), F.bool_or("settled").alias("s")).where("a <> b or s")
+    again = scratch.keep(again.select("key", "lo", "hi", F.col("a").alias("one")), "again")
+    whole = hot.where("not settled").join(again, ["key", "lo", "hi"], "left_semi").select(*place)
+    # intervals whose middle a different interval has too; of equal ones the first stands for all
+    cores = scratch.keep(hot.groupBy("core", "j").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("core", "j"), "cores")
+    rest = hot.join(again, ["key", "lo", "hi"], "left").where("one is null or rid = one").withColumn("many", F.col("one").isNotNull() | F.col("settled"))
+    rest = rest.join(cores, ["core", "j"], "left_semi").select("h1", "h2", "rid", "at", "hi", "many", "data")
+    windows = scratch.keep(rest.mapInArrow(lambda it: _windows(it, window), "h1 long, h2 long, rid long, at int, x int, many boolean, w long"), "windows")
+    twice = windows.groupBy("w", "x").agg(F.min("rid").alias("a"), F.max("rid").alias("b"), F.bool_or("many").alias("s")).where("a <> b or s").select("w", "x")
+    twice = scratch.keep(twice, "twice")
+    single = windows.where("not many").join(twice, ["w", "x"], "left_semi").select("h1", "h2", (F.col("at") - F.col("x")).alias("lo"), (F.col("at") - F.col("x") + window).alias("hi"))
+    hot = whole.unionAll(single)
     spans = settled.unionAll(cold).unionAll(hot).groupBy("h1", "h2").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
     out = scratch.keep(spans, "spans")
-    scratch.drop("parts", "again")
+    scratch.drop("parts", "again", "cores", "windows", "twice")
     gc()
     return out
 
