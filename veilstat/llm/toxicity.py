@@ -2,8 +2,8 @@
 
 Folding lower-cases, strips accents, maps homoglyphs of other scripts and digit substitutions to the letters they imitate, and puts the
 letters that one glyph may stand for (i, l, 1) in one class. The lexicon is learned from labelled rows: words whose share of
-occurrences in toxic texts is beyond chance by a binomial test over all words seen (Bonferroni), weighted by their log odds. Occurrences of a
-word count once for each pair of neighbours, so that copies of a text add nothing. Exception phrases are pairs of neighbours in which a
+occurrences in toxic texts is beyond chance by a binomial test over all words seen (Bonferroni) and at least PURITY to 1, weighted by their log odds. A toxic occurrence
+counts by text and by pair of neighbours, whichever count is less, so that neither copies of a text nor repetition in one add anything. Exception phrases are pairs of neighbours in which a
 lexicon word stands in clean texts, learned likewise, plus those given.
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 SAMPLE_TOXIC = 4_000  # labelled rows that a fit reads at most
 SAMPLE_CLEAN = 12_000
 THRESHOLD = 0.3
+PURITY = 4
 
 # fixed values: letters of other scripts that look like Latin ones
 HOMOGLYPHS = {
@@ -105,22 +106,24 @@ def sample_labels(labels: DataFrame, column: str, toxic: int, clean: int) -> Dat
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, exceptions=()) -> Lexicon:
     """Learns the lexicon from at most `toxic` and `clean` labelled rows; what the driver gets is the lexicon."""
     pairs = sample_labels(labels, column, toxic, clean)  # bounded by the two parameters, so it can be broadcast
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(pairs), "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(pairs), "doc_id").select("text", "toxic", F.xxhash64("text").alias("doc"))
 
     def run(batches):
         for b in batches:
-            out = ([], [], [], [])
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            out = ([], [], [], [], [])
+            for t, y, d in zip(*(c.to_pylist() for c in b.columns)):
                 ws = words(fold(t))
                 near = {(w, (ws[i - 1] if i else "", ws[i + 1] if i + 1 < len(ws) else "")) for i, w in enumerate(ws)}
                 for w, (p, q) in near:
-                    out[0].append(w), out[1].append(p), out[2].append(q), out[3].append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out[:3]] + [pa.array(out[3], pa.int32())], names=["w", "p", "q", "toxic"])
+                    out[0].append(w), out[1].append(p), out[2].append(q), out[3].append(y), out[4].append(d)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out[:3]] + [pa.array(out[3], pa.int32()), pa.array(out[4], pa.int64())], names=["w", "p", "q", "toxic", "doc"])
 
-    seen = rows.mapInArrow(run, "w string, p string, q string, toxic int")
+    seen = rows.mapInArrow(run, "w string, p string, q string, toxic int, doc long")
+    texts = seen.groupBy("w", "doc").agg(F.max("toxic").alias("t")).groupBy("w").agg(F.sum("t").alias("a_texts"), F.sum(1 - F.col("t")).alias("b_texts"))
     # one row for each word and pair of neighbours, whichever texts repeat it
     seen = seen.groupBy("w", F.xxhash64("p", "q").alias("near")).agg(F.max("toxic").alias("t"), F.min("toxic").alias("u"))
-    counts = seen.groupBy("w").agg(F.sum("t").alias("a"), F.sum(1 - F.col("u")).alias("b"))
+    counts = seen.groupBy("w").agg(F.sum("t").alias("a_near"), F.sum(1 - F.col("u")).alias("b_near")).join(texts, "w")
+    counts = counts.select("w", F.least("a_near", "a_texts").alias("a"), F.greatest("b_near", "b_texts").alias("b"))
     from veilstat.llm.scratch import Scratch
 
     scratch = Scratch(docs.sparkSession, "toxicity")
@@ -130,8 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", toxic: int =
         scratch.drop("counts")
         return Lexicon({})
     q, alpha = total.a / (total.a + total.b), 0.1 / total.v
-    # a word has to be toxic at over 8 times the base odds before the exact test is worth its time
-    found = counts.where((F.col("a") >= 3) & (F.col("a") * (1 - q) > 8 * q * (F.col("b") + 0.25))).collect()
+    found = counts.where((F.col("a") >= 3) & (F.col("a") >= PURITY * F.col("b"))).collect()
     weights = {r.w: math.log((r.a + 0.5) / total.a * total.b / (r.b + 0.5)) for r in found if _tail(r.a, r.a + r.b, q) < alpha}
     scratch.drop("counts")
     return Lexicon(weights, {tuple(words(fold(e))[:2]) for e in exceptions})
