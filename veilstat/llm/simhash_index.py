@@ -25,6 +25,7 @@ from veilstat.llm.scratch import Scratch
 RADIUS = 4
 WIDTH = 4  # words in a shingle, as the contract of the fingerprint has it
 SHARE = 16
+DEPTH = 2
 NODE_ROWS = 4096  # an upper node with more distinct fingerprints is dealt out again
 
 
@@ -196,8 +197,7 @@ def _links(batches, radius: int):
 def deal(codes: DataFrame, scratch: Scratch, radius: int, node_rows: int = NODE_ROWS, tag: str = "index") -> DataFrame:
     """The rows of `codes` (fp and any others) under each of their upper nodes (mask, pattern); two rows within `radius` bits share one.
 
-    A node with over `node_rows` rows, as one fingerprint in SHARE tells, is dealt out again by more of its bits, until all but `radius` bits are fixed: then all its rows
-    link. The estimate decides where rows go, not which of them meet.
+    A node with over `node_rows` rows, as one fingerprint in SHARE tells, is dealt out again by more of its bits, DEPTH times at most. The estimate decides where rows go, not which of them meet.
     """
 
     def placed(df: DataFrame, masks) -> DataFrame:
@@ -213,7 +213,7 @@ def deal(codes: DataFrame, scratch: Scratch, radius: int, node_rows: int = NODE_
         hot = scratch.keep(sizes.select("mask", "pattern"), f"{tag}-hot{step}")
         masks = [r[0] for r in hot.select("mask").distinct().collect()]  # at most all masks of this level
         deep = {m: deeper_masks(m & (1 << 64) - 1, radius) for m in masks if bin(m & (1 << 64) - 1).count("1") < 64 - radius}
-        if not deep:
+        if not deep or step == DEPTH:  # each dealing multiplies a crowd's rows; what is left is walked in its task
             out.append(level)
             break
         hot = hot.where(F.col("mask").isin(list(deep)))
