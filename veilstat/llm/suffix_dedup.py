@@ -65,7 +65,7 @@ def _parse_all(batches, window: int):
                 continue
             p = Parse(data, window)
             rid = (part << RUNS + TEXTS) + (text << RUNS) + np.arange(len(p.at))
-            ids.append((int(rid[0]), i))
+            ids.append((int(rid[0]), i, len(rid)))
             text += 1 + (len(rid) >> RUNS)
             for k, x in enumerate((rid, p.whole, p.left, p.right, p.on_left.astype(np.int8) + 2 * p.on_right.astype(np.int8))):
                 keep[k].append(x)
@@ -76,11 +76,11 @@ def _parse_all(batches, window: int):
         yield pa.RecordBatch.from_arrays([
             pa.array(np.zeros(n, np.int8)), pa.array(rid), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), _signed(whole),
             pa.array(left.view(np.int64), mask=(on & 1) == 0), pa.array(right.view(np.int64), mask=(on & 2) == 0)], names=names)
-        rows = pa.array([i for _, i in ids])
+        rows = pa.array([i for _, i, _ in ids])
         m = len(ids)
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.ones(m, np.int8)), pa.array([r for r, _ in ids], pa.int64()), b.column(1).take(rows), b.column(2).take(rows),
-            *[pa.nulls(m, pa.int64())] * 3], names=names)
+            pa.array(np.ones(m, np.int8)), pa.array([r for r, _, _ in ids], pa.int64()), b.column(1).take(rows), b.column(2).take(rows),
+            pa.array([k for _, _, k in ids], pa.int64()), *[pa.nulls(m, pa.int64())] * 2], names=names)
 
 
 def _merged(first: np.ndarray, last: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +217,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text: str = "text", window
     own = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     own = own.select(F.col("t").cast("binary").alias("data"), F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"))
     runs = scratch.keep(own.where(f"octet_length(data) >= {window}").mapInArrow(lambda it: _parse_all(it, window), "kind byte, rid long, h1 long, h2 long, whole long, left long, right long"), "runs")
-    texts = scratch.keep(runs.where("kind = 1").groupBy("h1", "h2").agg(F.min("rid").alias("tkey")), "texts")
+    texts = scratch.keep(runs.where("kind = 1").groupBy("h1", "h2").agg(F.min("rid").alias("tkey"), F.first("whole").alias("n")), "texts")  # a text's own row has its number of phrases in whole
     runs = runs.where("kind = 0")
     dictionary = scratch.keep(runs.groupBy("whole").agg(F.count("*").alias("n"), F.min("rid").alias("first")).where("n > 1").select("whole", "first"), "dictionary")
     keys = runs.where("left is not null").select(F.col("left").alias("key"), "whole").unionAll(runs.where("right is not null").select(F.col("right").alias("key"), "whole"))
@@ -226,14 +226,14 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text: str = "text", window
     flags = runs.select("whole", "rid").join(dictionary, "whole").select("rid", F.when(F.col("rid") == F.col("first"), SETTLED | FIRST).otherwise(SETTLED).alias("flag"))
     for side, bit, hot in (("left", LEFT, LEFT_HOT), ("right", RIGHT, RIGHT_HOT)):
         flags = flags.unionAll(runs.where(f"{side} is not null").select(F.col(side).alias("key"), "rid").join(mixed, "key").select("rid", F.when(F.col("hot"), bit | hot).otherwise(bit).alias("flag")))
-    # a text of over 2^RUNS phrases has more than one number; tkey is the first of them
-    low = (1 << RUNS) - 1
-    flags = flags.select(F.shiftright("rid", RUNS).alias("number"), F.col("rid").bitwiseAND(low), "flag").toDF("number", "run", "flag")
-    flags = flags.join(texts.select(F.shiftright("tkey", RUNS).alias("number")), "number", "left_semi")
-    told = scratch.keep(flags.groupBy("number").agg(F.collect_list((F.shiftleft("run", 6) + F.col("flag")).cast("long")).alias("told")), "told")
+    # a text of over 2^RUNS phrases has several numbers, from tkey's on: flags of each are joined, and count from the text's first phrase
+    numbers = texts.select("tkey", F.explode(F.sequence(F.shiftright("tkey", RUNS), F.shiftright(F.col("tkey") + F.col("n") - 1, RUNS))).alias("number"))
+    flags = flags.select(F.shiftright("rid", RUNS).alias("number"), "rid", "flag").join(numbers, "number")
+    told = flags.groupBy("tkey").agg(F.collect_list((F.shiftleft(F.col("rid") - F.col("tkey"), 6) + F.col("flag")).cast("long")).alias("told"))
+    told = scratch.keep(told, "told")
     scratch.drop("runs", "dictionary", "mixed")
     gc()
-    known = scratch.keep(texts.withColumn("number", F.shiftright("tkey", RUNS)).join(told, "number").select("h1", "h2", "tkey", "told"), "known")
+    known = scratch.keep(texts.join(told, "tkey").select("h1", "h2", "tkey", "told"), "known")
     scratch.drop("texts", "told")
     parts = own.join(known, ["h1", "h2"]).select("data", "h1", "h2", "tkey", "told").mapInArrow(
         lambda it: _diverge(it, window), "kind byte, h1 long, h2 long, tkey long, key long, rid long, core long, at int, lo int, hi int, settled boolean, data binary")
