@@ -306,6 +306,21 @@ def test_toxicity(spark, empty):
     assert calm.score("pond scum") == 0 < calm.score("scum")
 
 
+def test_toxicity_learns_exceptions(spark):
+    """A word that is harmless beside one neighbour in clean texts adds nothing there, and counts elsewhere."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(1200):
+        t = sentence(rng, 30).split()
+        if i % 4 == 0:
+            t.insert(rng.randint(0, 30), "scum")
+        elif i % 20 == 1:
+            t[rng.randint(0, 28):0] = ["Pond", "scum"]
+        rows.append((i, " ".join(t), int(i % 4 == 0)))
+    lex = toxicity.fit(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert lex.exceptions == {("pond", "scum")} and lex.score("clear pond scum here") == 0 < lex.score("you scum")
+
+
 def test_audio(spark, docs, rows, empty):
     got = collections.Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.bad_crc, r.skipped) for r in mpeg_audio.media_features(mpeg_audio.to_media(docs)).collect())
     want = collections.Counter()

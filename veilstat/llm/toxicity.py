@@ -4,7 +4,7 @@ Folding lower-cases, strips accents, maps homoglyphs of other scripts and digit
 letters that one glyph may stand for (i, l, 1) in one class. The lexicon is learned from labelled rows: words whose share of
 occurrences in toxic texts is beyond chance by a binomial test over all words seen (Bonferroni) and at least PURITY to 1, weighted by their log odds. A toxic occurrence
 counts by text and by pair of neighbours, whichever count is less, so that neither copies of a text nor repetition in one add anything. Exception phrases are pairs of neighbours in which a
-lexicon word stands in clean texts, learned likewise, plus those given.
+lexicon word stands in clean texts, learned likewise (its texts with the pair are clean beyond the word's own share of clean texts, and at least PURITY to 1), plus those given.
 """
 
 from __future__ import annotations
@@ -63,6 +63,13 @@ def words(folded: str) -> list[str]:
     return [w for w in _WORDS.findall(folded) if len(w) > 2]
 
 
+def pairs_at(folded: str, at: int, end: int, w: str) -> list[tuple[str, str]]:
+    """The word w, which stands at [at, end], with the word before it and with the word after it."""
+    before = _WORDS.findall(folded[max(0, at - 40):at])[-1:]
+    after = _WORDS.findall(folded[end + 1:end + 41])[:1]
+    return [(v, w) for v in before] + [(w, v) for v in after]
+
+
 class Lexicon:
     """Weights of folded words and exception phrases (pairs of folded words)."""
 
@@ -85,9 +92,7 @@ class Lexicon:
             if at and folded[at - 1].isalnum() or end + 1 < len(folded) and folded[end + 1].isalnum():
                 continue
             if self.exceptions:
-                before = _WORDS.findall(folded[max(0, at - 40):at])[-1:]
-                after = _WORDS.findall(folded[end + 1:end + 41])[:1]
-                if before and (before[0], w) in self.exceptions or after and (w, after[0]) in self.exceptions:
+                if any(pair in self.exceptions for pair in pairs_at(folded, at, end, w)):
                     continue
             total += x
         if not total:
@@ -136,7 +141,36 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", toxic: int =
     found = counts.where((F.col("a") >= 3) & (F.col("a") >= PURITY * F.col("b"))).collect()
     weights = {r.w: math.log((r.a + 0.5) / total.a * total.b / (r.b + 0.5)) for r in found if _tail(r.a, r.a + r.b, q) < alpha}
     scratch.drop("counts")
-    return Lexicon(weights, {tuple(words(fold(e))[:2]) for e in exceptions})
+    return Lexicon(weights, {tuple(words(fold(e))[:2]) for e in exceptions} | _learn_exceptions(rows, weights, scratch))
+
+
+def _learn_exceptions(rows: DataFrame, weights: dict[str, float], scratch) -> set[tuple[str, str]]:
+    """Pairs of neighbours of a lexicon word that make it harmless, from the labelled texts (text, toxic, doc); copies of a text count once."""
+    if not weights:
+        return set()
+
+    def run(batches):
+        own = Lexicon(weights)
+        for b in batches:
+            out = set()
+            for t, y, d in zip(*(c.to_pylist() for c in b.columns)):
+                folded = fold(t)
+                for end, (w, _) in own.machine.iter(folded):
+                    at = end - len(w) + 1
+                    if at and folded[at - 1].isalnum() or end + 1 < len(folded) and folded[end + 1].isalnum():
+                        continue
+                    out.add((w, None, None, y, d))  # the word itself, whatever stands beside it
+                    out.update((w, p, q, y, d) for p, q in pairs_at(folded, at, end, w))
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.string()] * 3, pa.int32(), pa.int64()))], names=["w", "p", "q", "toxic", "doc"])
+
+    met = rows.mapInArrow(run, "w string, p string, q string, toxic int, doc long").groupBy("w", "p", "q", "doc").agg(F.max("toxic").alias("t"))
+    met = scratch.keep(met.groupBy("w", "p", "q").agg(F.sum("t").alias("a"), F.sum(1 - F.col("t")).alias("b")), "met")
+    pairs, alone = met.where("p is not null"), met.where("p is null").select("w", F.col("a").alias("word_a"), F.col("b").alias("word_b"))
+    tested = pairs.count()
+    found = pairs.where((F.col("b") >= 3) & (F.col("b") >= PURITY * F.col("a"))).join(alone, "w").collect()
+    scratch.drop("met")
+    return {(r.p, r.q) for r in found if _tail(r.b, r.a + r.b, (r.word_b + 0.5) / (r.word_a + r.word_b + 1)) < 0.1 / tested}
 
 
 def _tail(a: int, n: int, q: float) -> float:
