@@ -225,6 +225,22 @@ def test_near_duplicates(spark, docs, rows, empty):
     assert near_dedup.drop_near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_recall(spark):
+    """Edited copies of a Jaccard similarity of 0.8, by brute force, against those that go."""
+    rng, texts = random.Random(21), []
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    for _ in range(80):
+        base = [word(8) for _ in range(35)] + [word(3) for _ in range(15)]
+        rng.shuffle(base)
+        k = rng.choice([i for i, w in enumerate(base) if len(w) == 8])
+        texts += [" ".join(base), " ".join([*base[:k], word(8), *base[k + 1:]])]
+    sets = [near_dedup.shingles(t) for t in texts]
+    near = {j for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    kept = {r.doc_id for r in near_dedup.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    gone = set(range(len(texts))) - kept
+    assert len(near) == 80 and gone <= near and len(gone) >= 0.9 * len(near)
+
+
 def test_packing(spark, docs, rows, empty):
     got = packing.pack(docs, capacity=1000, shard_rows=8).collect()
     size = collections.Counter()
