@@ -178,45 +178,99 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b, m) == min(edits(a, b), m + 1)
 
 
-@pytest.mark.parametrize("large", [False, True])
-def test_lines(spark, docs, rows, empty, monkeypatch, large):
-    if large:  # sets are dealt out by blocks
-        monkeypatch.setattr(line_dedup, "SET_ROWS", 1)
-    got = line_dedup.dedup_lines(docs)
-    assert got.columns[:7] == docs.columns
-    got = collections.Counter((r.doc_id, r.text, r.n_lines_, r.n_dropped_) for r in got.collect())
-    # brute force: all pairs of lines within the radius and edit similarity
+def test_edit_distance_between_anchors(monkeypatch):
+    """Of long lines the distance is never less than the true one, and equal where edits stand apart."""
+    rng = random.Random(5)
+    monkeypatch.setattr(line_dedup, "LONG", 64)
+    for _ in range(30):
+        a = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(120)]
+        b = list(a)
+        for k in rng.sample(range(120), rng.randint(0, 8)):
+            b[k] = rng.choice(["", "zzzz", b[k] + "x"])
+        a, b = " ".join(a), " ".join(b)
+        got, true = line_dedup.edit_distance(a, b, len(a)), edits(a, b)
+        assert true <= got <= true + 0.2 * len(a)
+    a = "".join(rng.choice("ab cd") for _ in range(3000))
+    assert line_dedup.edit_distance(a, a, 0) == 0 and line_dedup.edit_distance(a, a[::-1], 600) == 601
+
+
+def brute_lines(rows, min_chars=24):
+    """Groups of all lines: equal ones, and from `min_chars` characters on those of an edit similarity of 0.8, over all pairs. -> rows that dedup_lines should give"""
     place = []
     for i, t, *_ in rows:
         if t is not None:
-            x = line_dedup.Lines([t.encode()])
-            place += [((i is None, i or 0, t), k, x.normalised(k), int(x.simhash[k])) for k in range(len(x.size)) if x.size[k] >= line_dedup.MIN_CHARS]
-    up = list(range(len(place)))
+            place += [((i is None, i or 0, t), k, v) for k, v in enumerate(line_dedup.Lines([t.encode()]).normalised().to_pylist()) if v]
+    up = {}
 
     def find(x):
-        while up[x] != x:
+        while up.setdefault(x, x) != x:
             x = up[x]
         return x
 
-    for a in range(len(place)):
-        for b in range(a):
-            if place[a][2] == place[b][2] or bin((place[a][3] ^ place[b][3]) & (1 << 64) - 1).count("1") <= line_dedup.RADIUS and 1 - edits(place[a][2], place[b][2]) / max(len(place[a][2]), len(place[b][2])) >= 0.8:
+    norms = sorted({v for _, _, v in place})
+    for a in norms:
+        for b in norms:
+            n = max(len(a), len(b))
+            if a < b and min(len(a), len(b)) >= max(min_chars, 0.8 * n) and line_dedup.edit_distance(a, b, n) <= 0.2 * n + 1e-9:
                 up[find(a)] = find(b)
     best = {}
-    for k, p in enumerate(place):
-        best[find(k)] = min(best.get(find(k), (p[0], p[1])), (p[0], p[1]))
-    stay, want, told = set(best.values()), collections.Counter(), set()
+    for p, k, v in place:
+        best[find(v)] = min(best.get(find(v), (p, k)), (p, k))
+    stay, want = set(best.values()), collections.Counter()
     for i, t, *_ in rows:
         if t is None:
             want[i, None, 0, 0] += 1
             continue
-        x, lines = line_dedup.Lines([t.encode()]), t.split("\n")
-        again = (i, t) in told
-        told.add((i, t))
-        keep = [v for k, v in enumerate(lines) if x.size[k] < line_dedup.MIN_CHARS or not again and ((i is None, i or 0, t), k) in stay]
+        lines, norm = t.split("\n"), line_dedup.Lines([t.encode()]).normalised().to_pylist()
+        keep = [v for k, v in enumerate(lines) if not norm[k] or ((i is None, i or 0, t), k) in stay]
         want[i, "\n".join(keep), len(lines), len(lines) - len(keep)] += 1
-    assert got == want
-    assert line_dedup.dedup_lines(empty).count() == 0
+    return want
+
+
+@pytest.mark.parametrize("set_rows", [2048, 2, 1])
+def test_lines(spark, docs, rows, empty, monkeypatch, set_rows):
+    """All in one task, crowded blocks dealt out by two blocks, and those by length and parts."""
+    monkeypatch.setattr(line_dedup, "SET_ROWS", set_rows)
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == [*docs.columns, "n_lines_", "n_dropped_"]
+    got = collections.Counter((r.doc_id, r.text, r.n_lines_, r.n_dropped_) for r in got.collect())
+    assert got == brute_lines(rows)
+    if set_rows == 2048:
+        assert line_dedup.dedup_lines(empty).count() == 0
+        clash = line_dedup.dedup_lines(docs.withColumn("n_lines_", docs.fp).withColumn("key", docs.fp))
+        assert clash.columns[-2:] == ["n_lines__", "n_dropped__"] and clash.count() == len(rows)
+
+
+def edited_lines(rng, n, edited, pairs):
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+    out = []
+    for _ in range(pairs):
+        a = [rng.choice(words) for _ in range(n)]
+        b = list(a)
+        for k in rng.sample(range(n), edited):
+            b[k] = rng.choice(words)
+        out += [" ".join(a), " ".join(b)]
+    return out
+
+
+@pytest.mark.parametrize("set_rows", [2048, 2])
+def test_lines_recall(spark, set_rows):
+    """Links found, of all pairs of a similarity of 0.8 by edit distance alone, for lines of 8 to 300 words with 1 to 10 % of them replaced."""
+    rng, of = random.Random(14), {}
+    for n, edited in ((8, 1), (10, 1), (20, 1), (20, 2), (50, 1), (50, 5), (300, 30)):
+        lines = edited_lines(rng, n, edited, 60)
+        near = {k for k in range(0, len(lines), 2) if line_dedup.similar(lines[k], lines[k + 1], 0.8)}
+        of[n, edited] = {hash_of(lines[k]): hash_of(lines[k + 1]) for k in near}, lines
+    lines = [x for _, v in of.values() for x in v]
+    table = spark.createDataFrame([(hash_of(x), x) for x in lines], "line long, norm string")
+    root = {r.line: r.root for r in line_dedup.line_links(table, Scratch(spark, "t"), set_rows=set_rows).collect()}
+    for kind, (pairs, _) in of.items():
+        found = sum(root.get(a, a) == root.get(b, b) for a, b in pairs.items())
+        assert len(pairs) >= 40 and found >= 0.9 * len(pairs), (kind, found, len(pairs))
+
+
+def hash_of(x):
+    return int(line_dedup.Lines([x.encode()]).hash[0])
 
 
 def test_near_duplicates(spark, docs, rows, empty):

@@ -7,13 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where that is unset (local tests)."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, one of our own in local mode, as in tests; on a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/veilstat-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
@@ -33,7 +36,13 @@ class Scratch:
         return f"{self.root}/{table}"
 
     def keep(self, df: DataFrame, table: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(table))
+        """`df` written and read again; its shuffle files go once it is written."""
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(table))
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
     def drop(self, *tables: str) -> None:
