@@ -194,12 +194,16 @@ def test_edit_distance_between_anchors(monkeypatch):
     assert line_dedup.edit_distance(a, a, 0) == 0 and line_dedup.edit_distance(a, a[::-1], 600) == 601
 
 
+def normalised(text):
+    return [v.decode() for v in line_dedup.Lines([text.encode()]).normalised().to_pylist()]
+
+
 def brute_lines(rows, min_chars=24):
     """Groups of all lines: equal ones, and from `min_chars` characters on those of an edit similarity of 0.8, over all pairs. -> rows that dedup_lines should give"""
     place = []
     for i, t, *_ in rows:
         if t is not None:
-            place += [((i is None, i or 0, t), k, v) for k, v in enumerate(line_dedup.Lines([t.encode()]).normalised().to_pylist()) if v]
+            place += [((i is None, i or 0, t), k, v) for k, v in enumerate(normalised(t)) if v]
     up = {}
 
     def find(x):
@@ -221,7 +225,7 @@ def brute_lines(rows, min_chars=24):
         if t is None:
             want[i, None, 0, 0] += 1
             continue
-        lines, norm = t.split("\n"), line_dedup.Lines([t.encode()]).normalised().to_pylist()
+        lines, norm = t.split("\n"), normalised(t)
         keep = [v for k, v in enumerate(lines) if not norm[k] or ((i is None, i or 0, t), k) in stay]
         want[i, "\n".join(keep), len(lines), len(lines) - len(keep)] += 1
     return want

@@ -40,7 +40,7 @@ class Scratch:
         before = self.spark.conf.get(CLEANUP, None)
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.mode("overwrite").parquet(self.path(table))
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(table))
         finally:
             self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(table))
