@@ -176,6 +176,14 @@ def test_edit_distance():
         a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 14))) for _ in range(2))
         m = rng.randint(0, 14)
         assert line_dedup.edit_distance(a, b, m) == min(edits(a, b), m + 1)
+    pairs = []
+    for _ in range(700):
+        a = "".join(rng.choice("abc é日") for _ in range(rng.choice([0, 1, 5, 63, 64, 65, 130, 300])))
+        b = "".join(c if rng.random() < 0.8 else rng.choice(["", "x", c + "y"]) for c in a) if rng.random() < 0.8 else a[::-1]
+        pairs.append((a, b))
+    got = line_dedup.distances(pairs)
+    assert got.tolist() == [line_dedup.edit_distance(a, b, 10**6) for a, b in pairs]
+    assert all(line_dedup.words_apart(a.split(" "), b.split(" ")) >= d for (a, b), d in zip(pairs, got))
 
 
 def test_edit_distance_between_anchors(monkeypatch):
@@ -263,7 +271,7 @@ def test_lines_recall(spark, set_rows):
     rng, of = random.Random(14), {}
     for n, edited in ((8, 1), (10, 1), (20, 1), (20, 2), (50, 1), (50, 5), (300, 30)):
         lines = edited_lines(rng, n, edited, 60)
-        near = {k for k in range(0, len(lines), 2) if line_dedup.similar(lines[k], lines[k + 1], 0.8)}
+        near = {k for k in range(0, len(lines), 2) if line_dedup.similar([(lines[k], lines[k + 1])], 0.8)[0]}
         of[n, edited] = {hash_of(lines[k]): hash_of(lines[k + 1]) for k in near}, lines
     lines = [x for _, v in of.values() for x in v]
     table = spark.createDataFrame([(hash_of(x), x) for x in lines], "line long, norm string")
