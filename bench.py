@@ -29,6 +29,7 @@ def main() -> None:
              .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     took = {}
+    spark.range(1000).groupBy("id").count().write.format("noop").mode("overwrite").save()  # starts the workers
     for name in HEADLINE:
         f = catalog.queries()[name]
         best = None
@@ -36,8 +37,6 @@ def main() -> None:
             t = time.time()
             f(spark, sf_dir).write.format("noop").mode("overwrite").save()
             best = min(best or 1e9, time.time() - t)
-            if best > 10:
-                break
         took[name] = round(best, 3)
     sf = re.search(r"sf([\d.]+)", sf_dir)
     print(json.dumps({"metric": "headline queries, total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": float(sf[1]) if sf else None}))

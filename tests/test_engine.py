@@ -103,10 +103,10 @@ def test_metrics(spark):
     c = [[0.0, 0.0], [8.0, 8.0], [99.0, 99.0]]
     got = metrics.evaluate(frame(spark, x), c, "all", truth=c)
     d2 = ((x[:, None] - np.array(c)[None]) ** 2).sum(axis=2).min(axis=1)
-    assert got[metrics.NAMES["nicv"]] == pytest.approx(d2.mean()) and got[metrics.NAMES["empty"]] == 1 and got[metrics.NAMES["mse"]] == 0
-    assert 0.6 < got[metrics.NAMES["silhouette"]] <= 1 and got[metrics.NAMES["dunn"]] > 0.5
-    one = metrics.evaluate(frame(spark, x), [[0.0, 0.0]], ["silhouette", "davies_bouldin", "calinski", "dunn", "nothing"])
-    assert one[metrics.NAMES["silhouette"]] == -1 and one[metrics.NAMES["davies_bouldin"]] == float("inf") and one[metrics.NAMES["calinski"]] == 0 and np.isnan(one[metrics.NAMES["dunn"]])
+    assert got[metrics.NAMES["nicv"]] == pytest.approx(d2.mean()) and got[metrics.NAMES["empty_clusters"]] == 1 and got[metrics.NAMES["mse"]] == 0
+    assert 0.6 < got[metrics.NAMES["silhouette"]] <= 1 and got[metrics.NAMES["dunn_index"]] > 0.5
+    one = metrics.evaluate(frame(spark, x), [[0.0, 0.0]], ["silhouette", "davies_bouldin", "calinski_harabasz", "dunn_index", "nothing"])
+    assert one[metrics.NAMES["silhouette"]] == -1 and one[metrics.NAMES["davies_bouldin"]] == float("inf") and one[metrics.NAMES["calinski_harabasz"]] == 0 and np.isnan(one[metrics.NAMES["dunn_index"]])
 
 
 def test_masks(spark):
@@ -120,3 +120,30 @@ def test_sweep(spark):
     rows, failures = sweep.run_grid(P.normalize(frame(spark, np.random.RandomState(0).randn(120, 2)), 2), "toy", Params(k=2, dim=2, data_size=120), [{"dp": "none"}, {"dp": "wrong"}], [0, 1])
     assert len(rows) == 2 and len(failures) == 2 and sweep.successes(rows) == 2
     assert len(list(sweep.grid(sweep.PRESETS["accuracy"]))) == 44
+
+
+def test_pairwise_by_blocks(spark):
+    """Pairs of blocks give what one block gives, and what NumPy does."""
+    rng = np.random.RandomState(3)
+    x, label = rng.uniform(-1, 1, (90, 3)), rng.randint(0, 4, 90)
+    df = spark.createDataFrame([([float(v) for v in r], int(c)) for r, c in zip(x, label)], "features array<double>, cluster int")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    s = []
+    for i in range(90):
+        mean = {c: d[i, label == c].sum() / ((label == c).sum() - (c == label[i])) for c in range(4)}
+        a, b = mean[label[i]], min(v for c, v in mean.items() if c != label[i])
+        s.append((b - a) / max(a, b))
+    same = label[:, None] == label[None]
+    for rows in (16, 1000):
+        assert metrics.silhouette(df, rows).first()[0] == pytest.approx(np.mean(s), abs=1e-12)
+        assert metrics.dunn(df, rows).first()[0] == pytest.approx(d[~same].min() / d[same].max(), abs=1e-12)
+
+
+def test_result_tree(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0.5), (2, 0.25)], "k int, nicv double")
+    sweep.save_results(rows, str(tmp_path / "a"))
+    sweep.save_results(rows, str(tmp_path / "b"), "ortho")
+    got = sweep.load_results(spark, str(tmp_path)).collect()
+    assert sorted((r.k, r.nicv) for r in got) == [(1, 0.5), (1, 0.5), (2, 0.25), (2, 0.25)] and len({r.file for r in got}) == 2
+    sweep.save_failures(spark, [{"k": 1, "error": "x"}], str(tmp_path / "failed.json"))
+    assert spark.read.json(str(tmp_path / "failed.json")).first().error == "x"

@@ -25,6 +25,27 @@ def test_formulas():
     assert Params(k=15, dim=2, data_size=10).comm_bytes() == 1440
 
 
+@pytest.mark.parametrize("kwargs,want", [
+    (dict(k=3, dim=2, data_size=1500, dp="gaussiananalytic", eps=0.25, method="diagonal_then_frac", alpha=0.8), 2),
+    (dict(k=3, dim=2, data_size=5000, dp="gaussiananalytic", eps=0.25, method="diagonal_then_frac", alpha=0.8), 7),
+    (dict(k=3, dim=2, data_size=2000, dp="gaussiananalytic", eps=0.25), 2),
+    (dict(k=3, dim=2, data_size=12000, dp="laplace", eps=0.25), 5),
+    (dict(k=3, dim=2, data_size=10), 7),
+])
+def test_rounds(kwargs, want):
+    """Each branch of the budget, against the formulas written out."""
+    p = Params(**kwargs)
+    k, d, n, e = p.k, p.dim, p.data_size, p.eps
+    if p.dp == "none":
+        m = 7
+    elif p.dp == "laplace":
+        m = e / np.sqrt(500 * k**3 / n**2 * (d + np.cbrt(4 * d * 0.225**2)) ** 3)
+    else:
+        s = analytic_gaussian_scale(e, 1 / (n * np.log(n)))
+        m = 0.004 * n**2 / (k**3 * d * (0.45 + np.sqrt(d)) ** 2 * s**2) if p.method == "none" else 0.004 * 4 * n**2 / (k**3 * (2 * np.sqrt(d) * p.frac) ** 2 * (1 + np.sqrt(4 * d)) ** 2 * s**2)
+    assert p.iters == int(max(min(m, 7), 2)) == want
+
+
 @pytest.mark.parametrize("bad", [{"dp": "x"}, {"method": "x"}, {"post": "x"}, {"k": 0}, {"dp": "laplace", "eps": 0}])
 def test_validation(bad):
     with pytest.raises(ValueError):

@@ -16,7 +16,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--method", default=None)
     p.add_argument("--alpha", type=float, default=0.8)
     p.add_argument("--post", default=None)
-    p.add_argument("--plot", action="store_true", help="also write the points with their clusters")
+    p.add_argument("--plot", action="store_true", help="also write the points with their nearest true centroid")
     p.add_argument("--protocol", default="local", choices=("local", "ortho"))
     p.add_argument("--d_primes", type=int, nargs="*", default=None)
     p.add_argument("--d_prime", type=int, default=None)
@@ -52,23 +52,29 @@ def main(argv: Sequence[str] | None = None) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
+    from veilstat.operators import metrics, stats
     from veilstat.operators.sweep import run_grid, save_failures, save_results
     from veilstat.params import Params
     from veilstat.sources import points as P
 
     spark = SparkSession.builder.appName("veilstat").getOrCreate()
     failures: list[dict] = []
-    for name in args.datasets or ["s1", "lsun"]:
-        raw = P.synthetic(spark, name).select("point_id", "features") if name in ("s1", "lsun", "birch2") or name.startswith("timesynth") else P.load_txt(spark, f"{args.data_folder}/{name}.txt").withColumn("point_id", F.xxhash64("features"))
+    for name in args.datasets or (list(P.NUM_CLUSTERS) if args.exp_type == "accuracy" else ["s1", "lsun"]):
+        raw = P.synthetic(spark, name).select("point_id", "features") if name in ("s1", "lsun", "birch2") or name.startswith("timesynth") else P.load_txt(spark, f"{args.data_folder}/{name}.txt").withColumn("point_id", F.monotonically_increasing_id())
         dim, n = len(raw.first().features), raw.count()
         scaled = P.normalize(raw, dim).persist()
+        truth, wanted = None, ("nicv", "bcss", "empty_clusters")
+        if args.exp_type == "accuracy":
+            truth, wanted = metrics.ground_truth(scaled, P.known_k(name, P.NUM_CLUSTERS)).tolist(), "all"
+            if args.plot:
+                stats.assigned(scaled, truth).select("point_id", "cluster", "features").write.mode("overwrite").parquet(f"{args.results_folder}/{args.exp_type}/{name}/points")
         base = Params(k=P.known_k(name, P.NUM_CLUSTERS), dim=dim, data_size=n)
-        rows, bad = run_grid(scaled, name, base, configurations(args), range(args.num_runs), args.protocol)
+        rows, bad = run_grid(scaled, name, base, configurations(args), range(args.num_runs), args.protocol, wanted=wanted, truth=truth)
         failures += bad
         if rows:
             save_results(spark.createDataFrame(rows), f"{args.results_folder}/{args.exp_type}/{name}", args.protocol)
         scaled.unpersist()
-    save_failures(failures, f"{args.results_folder}/failed.json") if failures else None
+    save_failures(spark, failures, f"{args.results_folder}/failed.json") if failures else None
     return int(bool(failures))
 
 

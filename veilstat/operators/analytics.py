@@ -20,9 +20,11 @@ def t_quantile(df: int, p: float = 0.975) -> float:
     lo, hi = 0.0, 1.0
     while cdf(hi) < p:
         hi *= 2
-    for _ in range(100):
+    while hi - lo > 1e-14 * hi:
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if cdf(mid) < p else (lo, mid)
+        if mid in (lo, hi) and hi - lo <= math.ulp(hi):
+            break
     return (lo + hi) / 2
 
 
@@ -46,7 +48,7 @@ def _beta(x: float, a: float, b: float) -> float:
     return front * f
 
 
-def mean_ci(df: DataFrame, by: Sequence[str], value: str, most: int = 1000) -> DataFrame:
+def mean_ci(df: DataFrame, by: Sequence[str], value: str, most: int = 200) -> DataFrame:
     """by, n, mean and half of the 95 % interval; NaN and null values don't count, a group without any has null, one value has half width 0.
 
     Quantiles are a literal table up to `most` values a group; larger groups use the normal expansion of the t quantile.
@@ -62,6 +64,12 @@ def mean_ci(df: DataFrame, by: Sequence[str], value: str, most: int = 1000) -> D
     return got.select(*by, "n", "mean", half.alias("half_width"))
 
 
+def replicate_mean(df: DataFrame, value: str, by: Sequence[str] = ("method", "k", "d")) -> DataFrame:
+    """Mean over replicates of a generated data set; NaN and null values don't count."""
+    v = F.when(~F.isnan(value), F.col(value))
+    return df.groupBy(*by).agg(F.count(v).alias("replicates"), F.avg(v).alias(value))
+
+
 def auc(df: DataFrame, by: Sequence[str], x: str, y: str, single_width: float = 0.9) -> DataFrame:
     """Trapezoid area over x in each group; one point stands for the whole grid of width `single_width`."""
     w = Window.partitionBy(*by).orderBy(x)
@@ -132,7 +140,7 @@ def timing_table(runs: DataFrame, lan: float = 0.000125, wan: float = 0.025) ->
     return out.orderBy("n", "k", "d")
 
 
-#: (method, dp, post) -> name in tables
+#: fixed values: (method, dp, post) -> name in tables
 LABELS = {("none", "none", "none"): "Lloyd", ("none", "laplace", "none"): "SuLloyd", ("none", "gaussiananalytic", "none"): "GLloyd", ("diagonal_then_frac", "gaussiananalytic", "fold"): "Flagship"}
 
 

@@ -80,7 +80,7 @@ def dpsgd_pca_basis(points: DataFrame, dim: int, d_prime: int, epsilon: float, d
             norm = 2 * np.linalg.norm(b, axis=1) * np.linalg.norm(p, axis=1)
             weight = np.minimum(1, clip_norm / (norm + 1e-8))
             g = -2 * (b * weight[:, None]).T @ p + rng.normal(0, sigma * clip_norm, (dim, cols))
-            w = orthogonalize_svd(w - rate * g / len(b) * (1 / max(clip_norm, 1e-12)))
+            w = np.linalg.qr(w - rate * g / len(b))[0]
     return canonical(w)
 
 

@@ -9,17 +9,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from veilstat.functions import vectors as V
 from veilstat.operators.hungarian import assignment
 from veilstat.operators.stats import assigned
 
-PAIR_ROWS = 50_000  # pairwise metrics take n^2 distances: beyond this they must be asked for
+BLOCK_ROWS = 2048  # points of a block of the pairwise metrics, which take n^2 distances
 
+# fixed values: names of metrics, as asked for and as result tables have them
 NAMES = {
-    "nicv": "Normalized Intra-cluster Variance (NICV)", "bcss": "Between-Cluster Sum of Squares (BCSS)", "empty": "Empty Clusters", "mse": "Mean Squared Error",
-    "silhouette": "Silhouette Score", "davies_bouldin": "Davies-Bouldin Index", "calinski": "Calinski-Harabasz Index", "dunn": "Dunn Index",
+    "nicv": "Normalized Intra-cluster Variance (NICV)", "bcss": "Between-Cluster Sum of Squares (BCSS)", "empty_clusters": "Empty Clusters", "mse": "Mean Squared Error",
+    "silhouette": "Silhouette Score", "davies_bouldin": "Davies-Bouldin Index", "calinski_harabasz": "Calinski-Harabasz Index", "dunn_index": "Dunn Index",
 }
+SHORT = {"empty": "empty_clusters", "calinski": "calinski_harabasz", "dunn": "dunn_index"}
 
 
 def one_pass(points: DataFrame, centroids: Sequence[Sequence[float]]) -> DataFrame:
@@ -58,59 +61,67 @@ def calinski_harabasz(labelled: DataFrame, dim: int) -> DataFrame:
     return whole.select(F.coalesce(F.when(F.col("k") < 2, 0.0).otherwise(F.try_divide(b / (F.col("k") - 1), w / (F.col("n") - F.col("k")))), F.lit(0.0)).alias("calinski_harabasz"))
 
 
-def _bounded(labelled: DataFrame, most: int) -> int:
-    n = labelled.count()
-    if n > most:
-        raise ValueError(f"{n} points need {n * n} distances; pass most_rows to allow it")
-    return n
-
-
-def _pairwise(labelled: DataFrame, row, schema: str, most_rows: int) -> DataFrame:
-    """row(x, y, lx, ly) over blocks of points against all points, which are checked to be few enough to hold."""
-    _bounded(labelled, most_rows)
-    got = labelled.select("features", "cluster").toArrow()
-    y, ly = np.array(got.column("features").to_pylist(), float), got.column("cluster").to_numpy()
-
-    def run(batches):
-        for b in batches:
-            for s in range(0, b.num_rows, 256):
-                part = b.slice(s, 256)
-                x, lx = np.array(part.column(0).to_pylist(), float), part.column(1).to_numpy()
-                if len(x):
-                    dist = np.sqrt(((x[:, None, :] - y[None]) ** 2).sum(axis=2)) if len(y) * x.shape[1] < 4_000_000 else np.stack([np.sqrt(((y - r) ** 2).sum(axis=1)) for r in x])
-                    yield row(dist, lx, ly)
-
-    return labelled.select("features", "cluster").mapInArrow(run, schema)
-
-
-def silhouette(labelled: DataFrame, most_rows: int = PAIR_ROWS) -> DataFrame:
-    """One row: mean Euclidean silhouette, 0 for single points; -1 unless 2 <= clusters <= n - 1."""
-    def row(dist, lx, ly):
-        ids, inv, size = np.unique(ly, return_inverse=True, return_counts=True)
-        sums = np.stack([dist[:, inv == c].sum(axis=1) for c in range(len(ids))], axis=1)
-        own = np.searchsorted(ids, lx)
-        i = np.arange(len(lx))
-        a = sums[i, own] / np.maximum(size[own] - 1, 1)
-        means = sums / size
-        means[i, own] = np.inf
-        b = means.min(axis=1)
-        s = np.where(size[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-        return pa.RecordBatch.from_arrays([pa.array(s if len(ids) > 1 else np.full(len(lx), -1.0)), pa.array(lx.astype(np.int32))], names=["s", "cluster"])
-
-    rows = _pairwise(labelled, row, "s double, cluster int", most_rows)
-    got = rows.agg(F.avg("s").alias("s"), F.count_distinct("cluster").alias("k"), F.count("*").alias("n"))
-    return got.select(F.when((F.col("k") >= 2) & (F.col("k") <= F.col("n") - 1), F.col("s")).otherwise(-1.0).alias("silhouette"))
-
-
-def dunn(labelled: DataFrame, most_rows: int = PAIR_ROWS) -> DataFrame:
-    """One row: least distance between clusters over the largest diameter; null where that isn't defined."""
-    def row(dist, lx, ly):
-        same = lx[:, None] == ly[None]
-        apart = np.where(same, np.inf, dist).min(axis=1)
-        wide = np.where(same, dist, 0).max(axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(apart), pa.array(wide)], names=["apart", "wide"])
-
-    got = _pairwise(labelled, row, "apart double, wide double", most_rows).agg(F.min("apart").alias("a"), F.max("wide").alias("w"))
+def _block_pairs(labelled: DataFrame, kernel, schema: str, block_rows: int) -> DataFrame:
+    """kernel(x, lx, idx, y, ly, idy, same) over each pair of blocks of points, in tasks of their own: no task holds more than two blocks of about `block_rows`."""
+    spark = labelled.sparkSession
+    n = max(1, -(-labelled.count() // block_rows))
+    rows = labelled.select("features", "cluster", F.monotonically_increasing_id().alias("id")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    rows = rows.select("features", "cluster", "id", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+
+    def run(t: pa.Table) -> pa.Table:
+        x, label, ident, block = np.array(t.column("features").to_pylist(), float), *(t.column(c).to_numpy() for c in ("cluster", "id", "block"))
+        one, two = t.column("one")[0].as_py(), t.column("two")[0].as_py()
+        a, b = block == one, block == two
+        return pa.Table.from_batches(list(kernel(x[a], label[a], ident[a], x[b], label[b], ident[b], one == two)), schema=pa_schema)
+
+    pa_schema = to_arrow_schema(spark.createDataFrame([], schema).schema)
+    return rows.groupBy("one", "two").applyInArrow(run, schema)
+
+
+def _distances(x: np.ndarray, y: np.ndarray):
+    """(first row, distances of some rows of x to all of y)."""
+    step = max(1, 4_000_000 // max(1, y.size))
+    for s in range(0, len(x), step):
+        yield s, np.sqrt(((x[s:s + step, None, :] - y[None]) ** 2).sum(axis=2))
+
+
+def silhouette(labelled: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row: mean Euclidean silhouette, 0 for single points; -1 unless 2 <= clusters <= n - 1. Distances are summed by pairs of blocks of points, so any number of points will do."""
+    sizes = {r.cluster: r.n for r in labelled.groupBy("cluster").agg(F.count("*").alias("n")).collect()}  # a row for each cluster
+    spark, ids = labelled.sparkSession, sorted(sizes)
+    n = sum(sizes.values())
+    if not 2 <= len(ids) <= n - 1:
+        return spark.range(1).select(F.lit(-1.0).alias("silhouette"))
+    known = np.array(ids)
+
+    def kernel(x, lx, ix, y, ly, iy, same):
+        for p, lp, ip, q, lq in [(x, lx, ix, y, ly)] + ([] if same else [(y, ly, iy, x, lx)]):
+            masks = [lq == c for c in known]
+            for s, d in _distances(p, q):
+                sums = np.stack([d[:, m].sum(axis=1) for m in masks], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(ip[s:s + len(d)]), pa.array(lp[s:s + len(d)].astype(np.int32)), pa.array(list(sums), pa.list_(pa.float64()))], names=["id", "cluster", "sums"])
+
+    parts = _block_pairs(labelled, kernel, "id long, cluster int, sums array<double>", block_rows)
+    by = parts.groupBy("id", "cluster").agg(*[F.sum(F.col("sums")[j]).alias(f"s{j}") for j in range(len(ids))])
+    size = F.create_map(*[F.lit(v) for c in ids for v in (c, sizes[c])])
+    own = size[F.col("cluster")]
+    a = F.get(F.array(*[f"s{j}" for j in range(len(ids))]), F.array_position(F.array(*map(F.lit, ids)), F.col("cluster")).cast("int") - 1) / F.greatest(own - 1, F.lit(1))
+    b = F.least(*[F.when(F.col("cluster") != c, F.col(f"s{j}") / sizes[c]).otherwise(float("inf")) for j, c in enumerate(ids)])
+    s = F.when(own > 1, F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0))).otherwise(0.0)
+    return by.agg(F.avg(s).alias("silhouette"))
+
+
+def dunn(labelled: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row: least distance between clusters over the largest diameter; null where that isn't defined. Pairs of blocks give their own least and largest."""
+    def kernel(x, lx, ix, y, ly, iy, same):
+        apart, wide = np.inf, 0.0
+        for s, d in _distances(x, y):
+            equal = lx[s:s + len(d), None] == ly[None]
+            apart, wide = min(apart, np.where(equal, np.inf, d).min(initial=np.inf)), max(wide, np.where(equal, d, 0).max(initial=0.0))
+        yield pa.RecordBatch.from_arrays([pa.array([float(apart)]), pa.array([float(wide)])], names=["apart", "wide"])
+
+    got = _block_pairs(labelled, kernel, "apart double, wide double", block_rows).agg(F.min("apart").alias("a"), F.max("wide").alias("w"))
     return got.select(F.when((F.col("a") < float("inf")) & (F.col("w") > 0), F.try_divide(F.col("a"), F.col("w"))).alias("dunn"))
 
 
@@ -122,26 +133,27 @@ def matched_distance(centroids: np.ndarray, truth: np.ndarray, squared: bool = F
     return float((v**2).mean() if squared else v.mean())
 
 
-def evaluate(points: DataFrame, centroids: Sequence[Sequence[float]], metrics: str | Sequence[str] = "all", truth: Sequence[Sequence[float]] | None = None, most_rows: int = PAIR_ROWS) -> dict[str, float]:
+def evaluate(points: DataFrame, centroids: Sequence[Sequence[float]], metrics: str | Sequence[str] = "all", truth: Sequence[Sequence[float]] | None = None) -> dict[str, float]:
     """Metrics by display name; unknown names are skipped, those of several clusters have defaults where fewer than two are occupied."""
     want = list(NAMES) if metrics == "all" else [metrics] if isinstance(metrics, str) else list(metrics)
+    want = [SHORT.get(w, w) for w in want]
     centroids, d, out = [list(map(float, c)) for c in centroids], len(centroids[0]), {}
-    base = one_pass(points, centroids).first() if {"nicv", "bcss", "empty", "wcss"} & {*want} else None
-    for name, field in (("nicv", "nicv"), ("bcss", "bcss"), ("empty", "empty_clusters")):
+    base = one_pass(points, centroids).first() if {"nicv", "bcss", "empty_clusters", "wcss"} & {*want} else None
+    for name, field in (("nicv", "nicv"), ("bcss", "bcss"), ("empty_clusters", "empty_clusters")):
         if name in want:
             out[NAMES[name]] = base[field]
     if "wcss" in want:
         out["WCSS"] = base.wcss
     labelled = assigned(points, centroids).select("features", "cluster")
     if "silhouette" in want:
-        out[NAMES["silhouette"]] = silhouette(labelled, most_rows).first()[0]
+        out[NAMES["silhouette"]] = silhouette(labelled).first()[0]
     if "davies_bouldin" in want:
         out[NAMES["davies_bouldin"]] = davies_bouldin(labelled, d).first()[0]
-    if "calinski" in want:
-        out[NAMES["calinski"]] = calinski_harabasz(labelled, d).first()[0]
-    if "dunn" in want:
-        v = dunn(labelled, most_rows).first()[0]
-        out[NAMES["dunn"]] = math.nan if v is None else v
+    if "calinski_harabasz" in want:
+        out[NAMES["calinski_harabasz"]] = calinski_harabasz(labelled, d).first()[0]
+    if "dunn_index" in want:
+        v = dunn(labelled).first()[0]
+        out[NAMES["dunn_index"]] = math.nan if v is None else v
     if "mse" in want and truth is not None and (metrics != "all" or len(truth) == len(centroids)):
         out[NAMES["mse"]] = matched_distance(np.array(centroids), np.array(truth))
     return out

@@ -52,14 +52,14 @@ def run_once(points: DataFrame, params: Params, protocol: str = "local", wanted:
     return row | metrics.evaluate(points, got.centroids.tolist(), wanted, truth)
 
 
-def run_grid(points: DataFrame, dataset: str, base: Params, configs: Sequence[dict], seeds: Sequence[int], protocol: str = "local", threads: int = 2) -> tuple[list[dict], list[dict]]:
-    """(rows, failures) of all configurations and seeds; a failure costs its own row and is told, not hidden."""
+def run_grid(points: DataFrame, dataset: str, base: Params, configs: Sequence[dict], seeds: Sequence[int], protocol: str = "local", threads: int = 2, wanted: str | Sequence[str] = "all", truth=None) -> tuple[list[dict], list[dict]]:
+    """(rows, failures) of all configurations and seeds; a failure costs its own row and is told, not hidden. `truth`: centroids that runs are matched with."""
     fixed = {k: v for k, v in base.as_row().items() if k not in ("iters", "seed")}
 
     def one(job: tuple[dict, int]):
         config, seed = job
         try:
-            return run_once(points, Params(**fixed | config | {"seed": seed}), protocol) | {"dataset": dataset}, None
+            return run_once(points, Params(**fixed | config | {"seed": seed}), protocol, wanted, truth) | {"dataset": dataset}, None
         except Exception as e:
             return None, config | {"seed": seed, "dataset": dataset, "error": f"{type(e).__name__}: {e}"}
 
@@ -89,9 +89,9 @@ def load_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", True).option("recursiveFileLookup", True).csv(path).withColumn("file", F.input_file_name())
 
 
-def save_failures(failures: Sequence[dict], path: str) -> None:
-    with open(path, "w") as f:
-        json.dump(list(failures), f)
+def save_failures(spark: SparkSession, failures: Sequence[dict], path: str) -> None:
+    """One JSON array, written by Spark to the file system of the results."""
+    spark.createDataFrame([(json.dumps(list(failures)),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def successes(rows: Sequence[dict]) -> int:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, fields
 
+# fixed values: share of the noise on counts, and names of methods, mechanisms, post-processing and bases
 RHO = 0.225
 METHODS = ("none", "diagonal_then_frac", "frac_stay")
 MECHANISMS = ("none", "laplace", "gaussiananalytic")
@@ -12,6 +13,11 @@ POSTS = ("none", "fold", "truncate", "none_unclipped", "fold_unclipped", "trunca
 BASES = ("random", "svd_pca", "dpsgd_pca")
 
 
+def comm_bytes(clients, k, d):
+    """Bytes of one round over all ranks, of numbers or columns: 64-bit totals and counts, gathered and sent back."""
+    return 2 * clients * 8 * k * (d + 1)
+
+
 def phi(x: float) -> float:
     """Standard normal distribution function."""
     return 0.5 * math.erfc(-x / math.sqrt(2))
@@ -105,7 +111,7 @@ class Params:
             if self.method == "none":
                 m = 0.004 * n**2 / (k**3 * d * (2 * RHO + math.sqrt(d)) ** 2 * s**2)
             else:
-                m = 0.016 * n**2 / (k**3 * (self.diagonal * self.frac) ** 2 * (1 + math.sqrt(4 * d)) * s**2) if self.frac else 7
+                m = 0.016 * n**2 / (k**3 * (self.diagonal * self.frac) ** 2 * (1 + math.sqrt(4 * d)) ** 2 * s**2) if self.frac else 7
         return min(7, max(2, int(m)))
 
     def laplace_least_eps(self) -> float:
@@ -143,8 +149,7 @@ class Params:
         return s * f / d**0.25 * math.sqrt(d), s * f / math.sqrt(2 * RHO)
 
     def comm_bytes(self) -> int:
-        """Bytes of one round over all ranks: 64-bit totals and counts, gathered and sent back."""
-        return 2 * self.num_clients * 8 * self.k * (self.dim + 1)
+        return comm_bytes(self.num_clients, self.k, self.dim)
 
     def as_row(self) -> dict:
         return {f.name: getattr(self, f.name) for f in fields(self)}
@@ -153,7 +158,7 @@ class Params:
 # fixed values: radius factors of the ablation
 ABLATION_ALPHAS = (0.1, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0, 1.1, 1.2, 1.25, 1.3, 1.4, 1.5, 1.6, 1.7, 1.75, 1.8, 1.9, 2.0)
 _EPS = (0.1, 0.25, 0.5, 0.75, 1.0)
-#: parameter lists of the named experiments
+#: fixed values: parameter lists of the named experiments
 PRESETS = {
     "test": {"dps": ("none", "gaussiananalytic"), "methods": ("none", "diagonal_then_frac"), "posts": ("none", "fold"), "eps_budgets": (1.0,), "alphas": (0.8,), "delays": (0.0,)},
     "timing": {"dps": ("gaussiananalytic",), "methods": ("diagonal_then_frac",), "posts": ("fold",), "eps_budgets": (0.1,), "alphas": (0.8,), "delays": (0.000125, 0.025)},

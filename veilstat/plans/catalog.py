@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilstat import params
 from veilstat.functions import fixed, vectors as V
 from veilstat.operators import analytics as A
 from veilstat.operators import basis, metrics, ortho, stats, sweep
@@ -89,10 +90,10 @@ def load_txt_filter(spark, sf_dir):
     return got.select(F.col("features")[1].cast("bigint").alias("p_partkey"), F.col("features")[0].alias("f0"), F.col("features")[1].alias("f1"))
 
 
-@query("SELECT s_suppkey, printf('%.6f %.6f', CAST(s_suppkey AS DOUBLE), CAST(s_nationkey AS DOUBLE) / 4) AS value FROM supplier")
+@query("SELECT printf('%.6f %.6f', CAST(s_suppkey AS DOUBLE), CAST(s_nationkey AS DOUBLE) / 4) AS value FROM supplier")
 def save_txt_lines(spark, sf_dir):
-    df = table(spark, sf_dir, "supplier").select("s_suppkey", F.array(F.col("s_suppkey").cast("double"), F.col("s_nationkey") / 4.0).alias("features"))
-    return df.select("s_suppkey", F.array_join(F.transform("features", lambda v: F.format_string("%.6f", v)), " ").alias("value"))
+    df = table(spark, sf_dir, "supplier").select(F.array(F.col("s_suppkey").cast("double"), F.col("s_nationkey") / 4.0).alias("features"))
+    return P.format_points(df)
 
 
 @query("SELECT CAST(c_custkey AS DOUBLE) AS f0, c_acctbal AS f1 FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 7 <> 0")
@@ -432,16 +433,53 @@ def timing_table(spark, sf_dir):
 
 @query("SELECT n_nationkey, CAST(2 * (n_nationkey % 7 + 2) * 8 * (n_nationkey + 1) * (n_regionkey + 2) AS BIGINT) AS bytes FROM nation")
 def comm_bytes(spark, sf_dir):
-    d = F.col("n_regionkey") + 1
-    return table(spark, sf_dir, "nation").select("n_nationkey", (2 * (F.col("n_nationkey") % 7 + 2) * 8 * (F.col("n_nationkey") + 1) * (d + 1)).cast("bigint").alias("bytes"))
+    n = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select("n_nationkey", params.comm_bytes(n % 7 + 2, n + 1, F.col("n_regionkey") + 1).cast("bigint").alias("bytes"))
 
 
-@query(f"WITH {_RES}, a AS (SELECT dataset, method AS label, nicv FROM res WHERE dp = 'F' QUALIFY row_number() OVER (PARTITION BY dataset, method ORDER BY nicv, eps) = 1), b AS (SELECT dataset, 'Ortho' AS label, nicv FROM res WHERE dp = 'O' QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY nicv, eps, method) = 1) SELECT dataset, label, round(nicv, 6) AS nicv FROM (SELECT * FROM a UNION ALL SELECT * FROM b)")
+_RUNS = {"A": ("none", "none", "none"), "N": ("none", "laplace", "none"), "R": ("diagonal_then_frac", "gaussiananalytic", "fold")}
+
+
+@query(f"WITH {_RES}, a AS (SELECT dataset, CASE method WHEN 'A' THEN 'Lloyd' WHEN 'N' THEN 'SuLloyd' ELSE 'Flagship' END AS label, nicv FROM res WHERE dp = 'F' QUALIFY row_number() OVER (PARTITION BY dataset, method ORDER BY nicv, eps) = 1), "
+       "o AS (SELECT *, CASE method WHEN 'R' THEN 0.5 WHEN 'A' THEN 0.0 END AS sigma FROM res WHERE dp = 'O'), b AS (SELECT dataset, CASE WHEN coalesce(sigma, 0) = 0 THEN 'Ortho' ELSE 'Ortho-DP' END AS label, nicv FROM o QUALIFY row_number() OVER (PARTITION BY dataset, sigma ORDER BY nicv, eps) = 1) "
+       "SELECT dataset, label, round(nicv, 6) AS nicv FROM (SELECT * FROM a UNION ALL SELECT * FROM b)")
 def union_summary(spark, sf_dir):
-    res = results(spark, sf_dir)
-    a = A.best_by(res.where("dp = 'F'"), ["dataset", "method"], "nicv", ["eps"]).select("dataset", F.col("method").alias("label"), "nicv")
-    b = A.best_by(res.where("dp = 'O'"), ["dataset"], "nicv", ["eps", "method"]).select("dataset", F.lit("Ortho").alias("label"), "nicv")
-    return a.unionByName(b).withColumn("nicv", F.round("nicv", 6))
+    """Best rows of each protocol under their names in tables."""
+    res, kind = results(spark, sf_dir), F.create_map(*[x for k, v in _RUNS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])[F.col("method")]
+    local = res.where("dp = 'F'").select("dataset", "eps", "nicv", kind[0].alias("method"), kind[1].alias("dp"), kind[2].alias("post"))
+    projected = res.where("dp = 'O'").select("dataset", "nicv", F.col("eps").alias("d_prime"), F.when(F.col("method") == "R", 0.5).when(F.col("method") == "A", 0.0).alias("sigma"))
+    return A.protocol_summary(local, projected).withColumn("nicv", F.round("nicv", 6))
+
+
+@query(f"WITH {_RES} SELECT dataset, CASE method WHEN 'A' THEN 'random' WHEN 'N' THEN 'svd_pca' ELSE 'dpsgd_pca' END AS basis_method, CASE dp WHEN 'F' THEN 1 ELSE 2 END AS d_prime, round(nicv, 6) AS nicv, eps AS basis_epsilon FROM res QUALIFY row_number() OVER (PARTITION BY dataset, method, dp ORDER BY nicv, eps) = 1")
+def basis_summary(spark, sf_dir):
+    m = F.col("method")
+    rows = results(spark, sf_dir).select("dataset", "nicv", F.col("eps").alias("basis_epsilon"), F.when(m == "A", "random").when(m == "N", "svd_pca").otherwise("dpsgd_pca").alias("basis_method"), F.when(F.col("dp") == "F", 1).otherwise(2).alias("d_prime"), F.lit(0.0).alias("sigma"))
+    return A.basis_summary(rows).select("dataset", "basis_method", "d_prime", F.round("nicv", 6).alias("nicv"), "basis_epsilon")
+
+
+@query(f"WITH {_RES} SELECT method, CAST(dataset % 3 AS INTEGER) AS k, CASE dp WHEN 'F' THEN 2 ELSE 4 END AS d, count(*) AS replicates, round(avg(nicv), 6) AS nicv FROM res GROUP BY ALL")
+def replicate_mean(spark, sf_dir):
+    rows = results(spark, sf_dir).select("method", (F.col("dataset") % 3).alias("k"), F.when(F.col("dp") == "F", 2).otherwise(4).alias("d"), "nicv")
+    return A.replicate_mean(rows, "nicv").withColumn("nicv", F.round("nicv", 6))
+
+
+_CONFIGS = [(k, d, n, e, dp, m) for k in (2, 3, 5, 15) for d in (1, 2, 4, 8) for n in (1500, 60_000, 1_000_000) for e in (0.25, 1.0) for dp in ("laplace", "gaussiananalytic") for m in ("none", "diagonal_then_frac")]
+_CONFIG_ROWS = ", ".join(f"({k}, {d}, {n}, {e}::DOUBLE, '{dp}', '{m}', {params.analytic_gaussian_scale(e, 1 / (n * np.log(n)))!r}::DOUBLE)" for k, d, n, e, dp, m in _CONFIGS)
+
+
+@query(f"""WITH c AS (SELECT *, sqrt(d) * 2 AS diag, 0.8::DOUBLE / (2 * pow(k, 1.0::DOUBLE / d)) AS frac, cbrt(4 * d * pow(0.225::DOUBLE, 2)) AS counts, n::DOUBLE * n / (k * k * k) AS room FROM (VALUES {_CONFIG_ROWS}) AS v(k, d, n, eps, dp, method, scale)),
+m AS (SELECT *, CASE WHEN dp = 'laplace' THEN eps / sqrt(500 / room * pow(d + counts, 3)) WHEN method = 'none' THEN 0.004::DOUBLE * room / (d * pow(0.45::DOUBLE + sqrt(d), 2) * pow(scale, 2)) ELSE 0.016::DOUBLE * room / (pow(diag * frac, 2) * pow(1 + sqrt(4 * d), 2) * pow(scale, 2)) END AS rounds FROM c),
+i AS (SELECT *, CAST(least(7, greatest(2, floor(least(rounds, 100)))) AS INTEGER) AS iters, CASE WHEN dp = 'laplace' THEN d ELSE diag END AS most FROM m)
+SELECT k, d, n, eps, dp, method, iters, round(eps / iters * d / (d + counts), 9) AS sum_eps, round(eps / iters * counts / (d + counts), 9) AS count_eps,
+round(CASE WHEN method = 'none' OR diag / 2 >= most THEN diag ELSE diag / 2 END, 9) AS first_radius, round(CASE WHEN method = 'none' OR diag * frac >= most THEN diag ELSE diag * frac END, 9) AS radius FROM i""")
+def run_parameters(spark, sf_dir):
+    """Rounds, budget of sums and counts, and radii that follow from a configuration."""
+    rows = []
+    for k, d, n, e, dp, m in _CONFIGS:
+        p = Params(k=k, dim=d, data_size=n, eps=e, dp=dp, method=m, alpha=0.8)
+        rows.append((k, d, n, e, dp, m, p.iters, *[round(v, 9) for v in (*p.split_epsilon(), p.max_dist(0), p.max_dist(1))]))
+    return spark.createDataFrame(rows, "k int, d int, n int, eps double, dp string, method string, iters int, sum_eps double, count_eps double, first_radius double, radius double")
 
 
 @query("SELECT DISTINCT l_returnflag AS method, l_linestatus AS dp FROM lineitem")
