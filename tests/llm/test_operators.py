@@ -91,8 +91,19 @@ def test_simhash(spark, docs, rows, empty):
     assert simhash_index.simhash_components(empty).count() == 0
 
 
-@pytest.mark.parametrize("node_rows", [4096, 40])
-def test_index_loses_no_link(spark, node_rows):
+def test_simhash_ids(spark):
+    """Negative, null and repeated ids, and ids that are no numbers."""
+    rows = [(-5, "one two three four five"), (3, "one two three four five"), (-7, "quite alone in here now"), (None, "lost words of no id at all"), (None, "one two three four five"), (3, "one two three four five")]
+    got = sorted(((r.doc_id, r.component_id) for r in simhash_index.simhash_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(-5, -5), (3, -5), (3, -5), (-7, -7), (None, None), (None, -5)], key=str)
+    named = spark.createDataFrame([("b", "x y z w v"), ("a", "x y z w v"), ("c", "")], "doc_id string, text string")
+    assert sorted((r.doc_id, r.component_id) for r in simhash_index.simhash_components(named).collect()) == [("a", "a"), ("b", "a"), ("c", "c")]
+
+
+@pytest.mark.parametrize("depth,node_rows", [(2, 4096), (2, 40), (0, 40), (1, 20)])
+def test_index_loses_no_link(spark, monkeypatch, depth, node_rows):
+    """Whole nodes, nodes dealt out by bits, and nodes that dealing leaves crowded."""
+    monkeypatch.setattr(simhash_index, "DEPTH", depth)
     rng = random.Random(3)
     codes = [rng.getrandbits(64) for _ in range(120)]
     for c in codes[:6]:  # crowds, so that nodes are dealt out again and the hierarchy is walked

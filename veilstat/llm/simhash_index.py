@@ -5,8 +5,8 @@ differ in at most `radius` bits agree on all but `radius` of `radius + 2` blocks
 patterns of two whole blocks. Below an upper node fingerprints are in Gray order, and a binary hierarchy over that
 order holds, for each node, the bits that all its fingerprints share. Pairs of nodes are walked from the top:
 differences among shared bits add up, a pair of groups beyond the radius is pruned whole, and one that can't
-leave the radius is linked whole. An upper node with too many fingerprints is dealt out again by more of its bits
-until it fits, so that no task gets an unbounded group.
+leave the radius is linked whole. An upper node with too many fingerprints is dealt out again by more of its bits, DEPTH times at most; what
+is crowded even then is cut into parts, and each pair of parts is a node of its own, so that no task gets an unbounded group.
 """
 
 from __future__ import annotations
@@ -52,13 +52,15 @@ def fingerprint(text: bytes, width: int = WIDTH) -> int:
 def fingerprints(docs: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
     """doc_id and fp (BIGINT with the fingerprint's bits) of every row; null texts count as empty."""
 
+    kind = dict(docs.dtypes)["doc_id"]
+
     def run(batches):
         for b in batches:
             fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", width) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").cast("binary")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", F.col(text).cast("string").cast("binary")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def block_masks(radius: int) -> list[int]:
@@ -197,7 +199,8 @@ def _links(batches, radius: int):
 def deal(codes: DataFrame, scratch: Scratch, radius: int, node_rows: int = NODE_ROWS, tag: str = "index") -> DataFrame:
     """The rows of `codes` (fp and any others) under each of their upper nodes (mask, pattern); two rows within `radius` bits share one.
 
-    A node with over `node_rows` rows, as one fingerprint in SHARE tells, is dealt out again by more of its bits, DEPTH times at most. The estimate decides where rows go, not which of them meet.
+    A node with over `node_rows` rows, as one fingerprint in SHARE tells, is dealt out again by more of its bits, DEPTH times at most, and then over pairs of parts of half `node_rows` (under mask 0).
+    The estimate decides where rows go, not which of them meet.
     """
 
     def placed(df: DataFrame, masks) -> DataFrame:
@@ -210,12 +213,25 @@ def deal(codes: DataFrame, scratch: Scratch, radius: int, node_rows: int = NODE_
     for step in range(12):
         told = level.where(F.pmod(F.xxhash64("fp"), F.lit(SHARE)) == 0)
         sizes = told.groupBy("mask", "pattern").agg(F.count("*").alias("n")).where(f"n > {node_rows // SHARE}")
-        hot = scratch.keep(sizes.select("mask", "pattern"), f"{tag}-hot{step}")
+        hot = scratch.keep(sizes, f"{tag}-hot{step}")
         masks = [r[0] for r in hot.select("mask").distinct().collect()]  # at most all masks of this level
         deep = {m: deeper_masks(m & (1 << 64) - 1, radius) for m in masks if bin(m & (1 << 64) - 1).count("1") < 64 - radius}
-        if not deep or step == DEPTH:  # each dealing multiplies a crowd's rows; what is left is walked in its task
+        if not masks:
             out.append(level)
             break
+        if step == DEPTH:  # each dealing multiplies a crowd's rows
+            deep = {}
+        if len(deep) < len(masks):
+            last = hot.where(~F.col("mask").isin(list(deep))) if deep else hot
+            over = level.join(last, ["mask", "pattern"]).withColumn("parts", F.ceil(F.col("n") * (2 * SHARE / node_rows)).cast("int"))
+            over = over.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            pair = F.xxhash64("mask", "pattern", F.least("part", "other"), F.greatest("part", "other"))
+            out.append(over.withColumn("pattern", pair).withColumn("mask", F.lit(0).cast("long")).select(level.columns))
+        if not deep:
+            out.append(level.join(hot, ["mask", "pattern"], "left_anti").select(level.columns))
+            break
+        if len(deep) < len(masks):
+            level = level.join(last, ["mask", "pattern"], "left_anti").select(level.columns)
         hot = hot.where(F.col("mask").isin(list(deep)))
         out.append(level.join(hot, ["mask", "pattern"], "left_anti").select(level.columns))
         child = F.create_map(*[x for m, d in deep.items() for x in (F.lit(m).cast("long"), array(d))])
@@ -246,20 +262,16 @@ def simhash_components(docs: DataFrame, text: str = "text", radius: int = RADIUS
 
     component_id is the smallest doc_id among the rows linked, directly or through others, at `radius` or fewer differing bits.
     Null and empty texts have fingerprint 0 and link like any other. Repeated rows stay, each with the same values. Rows with a null doc_id
-    get a component_id if a linked row has an id, else null; other columns are ignored. An empty table gives no rows.
+    get a component_id if a linked row has an id, else null. Ids may be negative, or strings (the smallest is the first in order then); other columns are ignored. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     own = scratch.keep(fingerprints(docs, text, width), "fp")
-    codes = scratch.keep(own.groupBy("fp").agg(F.min("doc_id").alias("id")), "codes")
-    # a fingerprint that only rows without an id have takes part under a negative id of its own
-    keyed = codes.select("fp", F.coalesce("id", -1 - F.pmod("fp", F.lit(1 << 62))).alias("id"))
-    links = scratch.keep(near_links(keyed, scratch, radius), "links")
-    roots = connected_components(links, scratch)
-    real = keyed.join(roots, F.col("id") == F.col("node"), "left").select("fp", "id", F.coalesce("root", "id").alias("root"))
-    real = scratch.keep(real, "roots")
-    low = real.groupBy("root").agg(F.min(F.when(F.col("id") >= 0, F.col("id"))).alias("component_id"))
-    named = scratch.keep(real.where("root >= 0").select("fp", F.col("root").alias("component_id")).union(
-        real.where("root < 0").join(low.where("root < 0"), "root").select("fp", "component_id")), "named")
+    codes = scratch.keep(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "codes")
+    links = scratch.keep(near_links(codes.select("fp", F.col("fp").alias("id")), scratch, radius), "links")
+    groups = codes.join(connected_components(links, scratch), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    groups = scratch.keep(groups, "groups")
+    low = groups.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = scratch.keep(groups.join(low, "root").select("fp", "component_id"), "named")
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
