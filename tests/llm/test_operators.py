@@ -165,8 +165,8 @@ def test_repeats(spark, docs, rows, empty, monkeypatch):
 
 
 def test_repeats_of_a_text_with_many_phrases(spark):
-    """Of equal bytes each is a phrase: those from number 2^RUNS on count as well."""
-    n = (1 << suffix_dedup.RUNS) + 5000
+    """Of equal bytes each is a phrase: those from number 2^20 on count as well."""
+    n = (1 << 20) + 5000
     texts = ["a" * n, "b" * 199 + "a" * 300, "c" * 150]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {0: (n, n, 1, b""), 1: (499, 300, 1, b"b" * 199), 2: (150, 0, 0, b"c" * 150)}

@@ -28,8 +28,7 @@ from veilstat.llm.scratch import Scratch
 WINDOW = 200
 GROUP_ROWS = 2048
 STEP = 16
-RUNS = 20  # bits of a phrase's number in its text
-TEXTS = 20  # bits of a text's number in its partition
+PHRASES = 40  # bits of a phrase's number in its partition
 
 
 def _bytes(value) -> np.ndarray:
@@ -54,32 +53,32 @@ class Parse:
 
 
 def _parse_all(batches, window: int):
-    part, text = TaskContext.get().partitionId(), 0
-    names = ["kind", "rid", "h1", "h2", "whole", "left", "right"]
+    rid0 = TaskContext.get().partitionId() << PHRASES
+    names = ["kind", "tkey", "rid", "h1", "h2", "whole", "left", "right"]
     for b in batches:
-        keep: list[list[np.ndarray]] = [[] for _ in range(5)]
+        keep: list[list[np.ndarray]] = [[] for _ in range(6)]
         ids = []
         for i in range(b.num_rows):
             data = _bytes(b.column(0)[i])
             if len(data) < window:
                 continue
             p = Parse(data, window)
-            rid = (part << RUNS + TEXTS) + (text << RUNS) + np.arange(len(p.at))
-            ids.append((int(rid[0]), i, len(rid)))
-            text += 1 + (len(rid) >> RUNS)
-            for k, x in enumerate((rid, p.whole, p.left, p.right, p.on_left.astype(np.int8) + 2 * p.on_right.astype(np.int8))):
+            rid = rid0 + np.arange(len(p.at))
+            ids.append((rid0, i, len(rid)))
+            rid0 += len(rid)
+            for k, x in enumerate((np.full(len(rid), rid[0]), rid, p.whole, p.left, p.right, p.on_left.astype(np.int8) + 2 * p.on_right.astype(np.int8))):
                 keep[k].append(x)
         if not ids:
             continue
-        rid, whole, left, right, on = (np.concatenate(x) for x in keep)
+        tkey, rid, whole, left, right, on = (np.concatenate(x) for x in keep)
         n = len(rid)
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.zeros(n, np.int8)), pa.array(rid), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), _signed(whole),
+            pa.array(np.zeros(n, np.int8)), pa.array(tkey), pa.array(rid), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), _signed(whole),
             pa.array(left.view(np.int64), mask=(on & 1) == 0), pa.array(right.view(np.int64), mask=(on & 2) == 0)], names=names)
         rows = pa.array([i for _, i, _ in ids])
         m = len(ids)
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.ones(m, np.int8)), pa.array([r for r, _, _ in ids], pa.int64()), b.column(1).take(rows), b.column(2).take(rows),
+            pa.array(np.ones(m, np.int8)), *[pa.array([r for r, _, _ in ids], pa.int64())] * 2, b.column(1).take(rows), b.column(2).take(rows),
             pa.array([k for _, _, k in ids], pa.int64()), *[pa.nulls(m, pa.int64())] * 2], names=names)
 
 
@@ -213,33 +212,28 @@ def _windows(batches, window: int):
 def repeated_spans(docs: DataFrame, scratch: Scratch, text: str = "text", window: int = WINDOW) -> DataFrame:
     """(h1, h2, spans): for each text with bytes to remove, by its two hashes, the merged spans [lo, hi) in order of lo."""
     spark = docs.sparkSession
-    gc = spark._jvm.System.gc  # lets Spark drop shuffle files of steps that are over
     own = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     own = own.select(F.col("t").cast("binary").alias("data"), F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"))
-    runs = scratch.keep(own.where(f"octet_length(data) >= {window}").mapInArrow(lambda it: _parse_all(it, window), "kind byte, rid long, h1 long, h2 long, whole long, left long, right long"), "runs")
-    texts = scratch.keep(runs.where("kind = 1").groupBy("h1", "h2").agg(F.min("rid").alias("tkey"), F.first("whole").alias("n")), "texts")  # a text's own row has its number of phrases in whole
+    runs = scratch.keep(own.where(f"octet_length(data) >= {window}").mapInArrow(lambda it: _parse_all(it, window), "kind byte, tkey long, rid long, h1 long, h2 long, whole long, left long, right long"), "runs")
+    texts = scratch.keep(runs.where("kind = 1").groupBy("h1", "h2").agg(F.min("tkey").alias("tkey")), "texts")  # copies of a text are one
     runs = runs.where("kind = 0")
     dictionary = scratch.keep(runs.groupBy("whole").agg(F.count("*").alias("n"), F.min("rid").alias("first")).where("n > 1").select("whole", "first"), "dictionary")
     keys = runs.where("left is not null").select(F.col("left").alias("key"), "whole").unionAll(runs.where("right is not null").select(F.col("right").alias("key"), "whole"))
     mixed = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b")).where("a <> b")
     mixed = scratch.keep(mixed.select("key", (F.col("n") > GROUP_ROWS).alias("hot")), "mixed")
-    flags = runs.select("whole", "rid").join(dictionary, "whole").select("rid", F.when(F.col("rid") == F.col("first"), SETTLED | FIRST).otherwise(SETTLED).alias("flag"))
+    flags = runs.select("whole", "tkey", "rid").join(dictionary, "whole").select("tkey", "rid", F.when(F.col("rid") == F.col("first"), SETTLED | FIRST).otherwise(SETTLED).alias("flag"))
     for side, bit, hot in (("left", LEFT, LEFT_HOT), ("right", RIGHT, RIGHT_HOT)):
-        flags = flags.unionAll(runs.where(f"{side} is not null").select(F.col(side).alias("key"), "rid").join(mixed, "key").select("rid", F.when(F.col("hot"), bit | hot).otherwise(bit).alias("flag")))
-    # a text of over 2^RUNS phrases has several numbers, from tkey's on: flags of each are joined, and count from the text's first phrase
-    numbers = texts.select("tkey", F.explode(F.sequence(F.shiftright("tkey", RUNS), F.shiftright(F.col("tkey") + F.col("n") - 1, RUNS))).alias("number"))
-    flags = flags.select(F.shiftright("rid", RUNS).alias("number"), "rid", "flag").join(numbers, "number")
+        flags = flags.unionAll(runs.where(f"{side} is not null").select(F.col(side).alias("key"), "tkey", "rid").join(mixed, "key").select("tkey", "rid", F.when(F.col("hot"), bit | hot).otherwise(bit).alias("flag")))
+    flags = flags.join(texts.select("tkey"), "tkey", "left_semi")
     told = flags.groupBy("tkey").agg(F.collect_list((F.shiftleft(F.col("rid") - F.col("tkey"), 6) + F.col("flag")).cast("long")).alias("told"))
     told = scratch.keep(told, "told")
     scratch.drop("runs", "dictionary", "mixed")
-    gc()
     known = scratch.keep(texts.join(told, "tkey").select("h1", "h2", "tkey", "told"), "known")
     scratch.drop("texts", "told")
     parts = own.join(known, ["h1", "h2"]).select("data", "h1", "h2", "tkey", "told").mapInArrow(
         lambda it: _diverge(it, window), "kind byte, h1 long, h2 long, tkey long, key long, rid long, core long, at int, lo int, hi int, settled boolean, data binary")
     parts = scratch.keep(parts, "parts")
     scratch.drop("known")
-    gc()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     settled = parts.where("kind = 0").select("h1", "h2", "lo", "hi")
     cold = parts.where("kind = 1").select("key", "h1", "h2", "rid", "at", "lo", "hi", "settled", "data").repartition(n, "key").sortWithinPartitions("key")
@@ -261,7 +255,6 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text: str = "text", window
     spans = settled.unionAll(cold).unionAll(hot).groupBy("h1", "h2").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
     out = scratch.keep(spans, "spans")
     scratch.drop("parts", "again", "cores", "windows", "twice")
-    gc()
     return out
 
 
