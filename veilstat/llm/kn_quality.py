@@ -19,6 +19,7 @@ from veilstat.llm.scratch import Scratch
 
 ORDER = 5
 BLOCK_BYTES = 32 << 20
+SALTS = 16  # blocks that the rows of one id are dealt to
 QUANTILE = 0.995
 
 
@@ -42,12 +43,18 @@ def _blocks(docs: DataFrame, blocks: int) -> DataFrame:
                     pa.array([list(map(len, own))], pa.list_(pa.int64())), pa.array([pack.compress(b"".join(own))], pa.binary())], names=["block", "ids", "langs", "sizes", "data"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select(_block(blocks).alias("block"), "doc_id", F.col("lang").cast("string"), F.col("text").cast("string").cast("binary")).mapInArrow(
+    return docs.select(_block(blocks, _salt()).alias("block"), "doc_id", F.col("lang").cast("string"), F.col("text").cast("string").cast("binary")).mapInArrow(
         run, f"block long, ids array<{kind}>, langs array<string>, sizes array<long>, data binary")
 
 
-def _block(blocks: int):
-    return F.pmod(F.xxhash64("doc_id"), F.lit(blocks))
+def _block(blocks: int, salt):
+    return F.pmod(F.xxhash64("doc_id", salt), F.lit(blocks))
+
+
+def _salt():
+    """Spreads the rows of one id over SALTS blocks by their texts, and rows without an id, which are never trusted, over all."""
+    text = F.xxhash64("text")
+    return F.when(F.col("doc_id").isNull(), text).otherwise(F.pmod(text, F.lit(SALTS)).cast("long"))
 
 
 def _grams(data: bytes, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,17 +171,15 @@ def resolve(needed: DataFrame, p: dict[int, DataFrame], g: dict[int, DataFrame],
 
 def perplexities(docs: DataFrame, trusted: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, lang, n_bytes and perplexity (of a byte; null for empty texts) of every row, under a model of the rows whose doc_id is in `trusted`."""
-    spark = docs.sparkSession
     blocks = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
-    ids = trusted.select("doc_id").distinct().withColumn("block", _block(blocks)).select("block", "doc_id")
+    ids = trusted.select("doc_id").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    ids = ids.select(_block(blocks, F.col("salt")).alias("block"), "doc_id").distinct()
     found = _blocks(docs, blocks).groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_count, "block long, key long, n long")
     found = scratch.keep(found, "found")
-    spark._jvm.System.gc()
     p, g, unseen = train(found.groupBy("key").agg(F.sum("n").alias("n")), scratch)
     probs = scratch.keep(resolve(found.select("key").distinct(), p, g, unseen), "probs")
     back = scratch.keep(found.select("block", "key").join(probs, "key").select("block", "key", F.col("logp").cast("float").alias("logp")), "back")
     scratch.drop("found", "probs", *[f"p{k}" for k in p], *[f"weights{k}" for k in g])
-    spark._jvm.System.gc()
     kind = dict(docs.dtypes)["doc_id"]
     scored = _blocks(docs, blocks).groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_score, f"doc_id {kind}, lang string, n_bytes long, logp double")
     scored = scratch.keep(scored, "scored")
