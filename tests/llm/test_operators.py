@@ -311,7 +311,7 @@ def test_near_duplicates_recall(spark):
         rng.shuffle(base)
         k = rng.choice([i for i, w in enumerate(base) if len(w) == 8])
         texts += [" ".join(base), " ".join([*base[:k], word(8), *base[k + 1:]])]
-    sets = [near_dedup.shingles(t) for t in texts]
+    sets = [set(near_dedup.shingles(t).tolist()) for t in texts]
     near = {j for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     kept = {r.doc_id for r in near_dedup.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     gone = set(range(len(texts))) - kept
@@ -368,6 +368,15 @@ def test_decontamination(spark, empty):
     assert decontamination.contaminated(empty, bench).count() == 0 and decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_names_that_begin_sentences(spark):
+    item = "Tom has 5 red marbles. Tom buys 7 more marbles at the shop. Tom then gives 3 marbles to Ann. How many marbles does Tom have left?"
+    other = item.replace("Tom", "Bob").replace("Ann", "Eve").replace("5", "15").replace("7", "8").replace("3", "4")
+    rows = [(0, other), (1, item), (2, "The Shop at The Corner, How nice. " + item), (3, item.replace("marbles", "apples").replace("red", "big").replace("shop", "market")), (4, other.replace("gives 4", "takes 15"))]
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r.doc_id: r.share for r in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert set(got) >= {0, 1, 2} and 3 not in got and got[0] == got[1] == 1
+
+
 def test_decontamination_equals_sql(spark, data):
     c = duckdb.connect()
     for t in ("documents", "benchmark"):
@@ -376,6 +385,21 @@ def test_decontamination_equals_sql(spark, data):
     assert got == sorted(c.sql(decontamination.OP4_SQL).fetchall()) and got
 
 
+def test_decontamination_equals_sql_with_names(spark):
+    """Texts whose names begin sentences, stand in titles and after other names."""
+    rng = random.Random(23)
+    names, verbs = ["Tom", "Ann", "Bob", "Mary O'Neil", "Der", "The"], ["sees", "the big house", "buys 3 kg of rice", "gives 12 apples", "and then runs", "at Noon", "in 5 days"]
+    say = lambda: ". ".join(f"{rng.choice(names)} {rng.choice(verbs)} {rng.choice(['and', 'with', 'of'])} {rng.choice(names)} {rng.choice(verbs)}" for _ in range(rng.randint(2, 5))) + "."
+    items = [(i, say()) for i in range(40)]
+    docs = [(i, say() + " " + (rng.choice(items)[1].replace("Tom", "Max").replace("3", "4") if i % 2 else "") + "\n" + say()) for i in range(150)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    c = duckdb.connect()
+    for t, df in (("documents", d), ("benchmark", b)):
+        c.register(t, df.toPandas())
+    got = sorted(map(tuple, decontamination.contaminated(d, b).collect()))
+    assert got == sorted(c.sql(decontamination.OP4_SQL).fetchall()) and len(got) > 40
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(6)
     rows, labels = [], []
