@@ -1,9 +1,9 @@
 """Chat formatting over a prefix tree: turns that conversations share are emitted once, depth first.
 
-A node is a turn in the context of all turns before it, and its key is a hash chained along them; equal prefixes meet in one node by an
-aggregation that combines before it shuffles. Depth-first order is the order of the paths of keys, so the stream is a range-partitioned sort and its offsets are
-prefix sums over partitions; a tree that holds a third of all rows is spread like any other rows. Each node has position ids that run on from its
-ancestors' lengths, and the stream intervals of its ancestors and itself, which are what its tokens may attend to. The unit of the stream is a code point of the formatted text.
+A node is a turn in the context of all turns before it, and its key is a hash chained along them. Equal conversations meet in one leaf by an
+aggregation that combines before it shuffles; leaves in the order of their lists of keys are the tree in depth-first order, and a leaf brings the nodes that it doesn't share with the leaf before it.
+So the stream is a range-partitioned sort of leaves, and its offsets are prefix sums over partitions: all of it is linear in the turns, and a tree that holds a third of all rows is spread like any
+other rows. Each node has position ids that run on from its ancestors' lengths, and the stream intervals of its ancestors and itself, which are what its tokens may attend to. The unit of the stream is a code point of the formatted text.
 """
 
 from __future__ import annotations
@@ -61,34 +61,46 @@ def prefix_tree(convs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     """(nodes, leaves) of conversations from formatted_turns.
 
     nodes: node, parent, depth, loss, body, start and stop in the stream, position (of its first unit), attend (intervals of ancestors and itself, outermost first).
-    leaves: conv_id, node of its last turn. Conversations that are equal share their leaf.
+    leaves: conv_id, node of its last turn. Conversations that are equal share their leaf; one that begins another ends on an inner node.
     """
-    spark = convs.sparkSession
-    turns = convs.select(F.posexplode(F.arrays_zip("turns", "keys")).alias("depth", "t"), "keys").select(
-        F.col("t.keys").alias("node"), "depth", F.slice("keys", 1, F.col("depth") + 1).alias("line"), F.col("t.turns.body").alias("body"), F.col("t.turns.loss").alias("loss"))
-    nodes = turns.groupBy("node").agg(F.first("depth").alias("depth"), F.first("line").alias("line"), F.first("body").alias("body"), F.first("loss").alias("loss"))
-    nodes = nodes.withColumn("path", F.array_join(F.transform("line", lambda k: F.substring(k, 1, 16)), "")).withColumn("size", F.char_length("body").cast("long"))
-    nodes = scratch.keep(nodes, "nodes")  # the range partitions below are sampled from a table, not from a plan
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = nodes.repartitionByRange(n, "path", "node").withColumn("part", F.spark_partition_id())
-    ordered = scratch.keep(ordered, "ordered")
-    totals = ordered.groupBy("part").agg(F.sum("size").alias("total"))
-    # as many rows as partitions, so one task and a broadcast are safe
-    before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
-    w = Window.partitionBy("part").orderBy("path", "node").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ordered.withColumn("within", F.coalesce(F.sum("size").over(w), F.lit(0))).join(F.broadcast(before), "part")
-    placed = placed.withColumn("start", F.col("before") + F.col("within")).withColumn("stop", F.col("start") + F.col("size"))
-    placed = scratch.keep(placed.select("node", "depth", "line", "body", "loss", "size", "start", "stop"), "placed")
-    up = placed.select("node", F.posexplode("line").alias("k", "ancestor")).join(placed.select(F.col("node").alias("ancestor"), "start", "stop"), "ancestor")
-    spans = up.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("k", "start", "stop"))).alias("up"))
-    spans = spans.select("node", F.transform("up", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"))).alias("attend"))
-    out = placed.join(spans, "node").select(
-        "node", F.when(F.col("depth") > 0, F.get("line", F.col("depth") - 1)).alias("parent"),
-        "depth", "loss", "body", "start", "stop",
-        F.aggregate("attend", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"]).alias("end_position"), "attend")
-    out = out.withColumn("position", F.col("end_position") - (F.col("stop") - F.col("start"))).drop("end_position")
-    leaves = convs.where(F.size("keys") > 0).select("conv_id", F.element_at("keys", -1).alias("node"))
-    return scratch.keep(out, "tree"), leaves
+    n = int(convs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    convs = convs.where(F.size("keys") > 0)
+    turns = F.transform("turns", lambda t: F.struct(t["body"].alias("body"), t["loss"].alias("loss"), F.char_length(t["body"]).cast("long").alias("size")))
+    leaf = F.element_at("keys", -1).alias("leaf")
+    tips = scratch.keep(convs.select(leaf, "keys", turns.alias("turns")).groupBy("leaf").agg(F.first("keys").alias("keys"), F.first("turns").alias("turns")), "tips")  # range partitions are sampled from a table, not from a plan
+    ordered = scratch.keep(tips.repartitionByRange(n, "keys").withColumn("part", F.spark_partition_id()), "ordered")
+    # the leaf before: in the partition, or the last of the partition before, of which there are as many rows as partitions
+    ends = ordered.groupBy("part").agg(F.max("keys").alias("last")).select("part", F.lag("last").over(Window.orderBy("part")).alias("last"))
+    before = F.coalesce(F.lag("keys").over(Window.partitionBy("part").orderBy("keys")), "last", F.array().cast("array<string>"))
+    rows = ordered.join(F.broadcast(ends), "part").withColumn("before", before)
+    # keys are chained: where they are equal, so are all before them
+    rows = rows.withColumn("shared", F.size(F.filter(F.zip_with("keys", "before", lambda x, y: x.eqNullSafe(y)), lambda x: x))).drop("before", "last")
+    rows = rows.withColumn("size", F.aggregate("turns", F.lit(0).cast("long"), lambda acc, t: acc + t["size"]) - F.aggregate(F.slice("turns", 1, F.col("shared")), F.lit(0).cast("long"), lambda acc, t: acc + t["size"]))
+    rows = scratch.keep(rows, "brought")
+    totals = rows.groupBy("part").agg(F.sum("size").alias("total"))
+    offsets = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("offset"))  # as many rows as partitions
+    within = F.coalesce(F.sum("size").over(Window.partitionBy("part").orderBy("keys").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    rows = rows.withColumn("within", within).join(F.broadcast(offsets), "part").withColumn("first", F.col("offset") + F.col("within"))
+    starts = F.aggregate(F.slice("turns", F.col("shared") + 1, F.size("turns")), F.array(F.col("first")), lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + t["size"])))
+    rows = scratch.keep(rows.select("leaf", "keys", "turns", "shared", starts.alias("starts")), "placed")
+    own = rows.select("leaf", F.explode(F.sequence(F.col("shared"), F.size("keys") - 1)).alias("depth"), "keys", "turns", "shared", "starts").where("depth >= shared and depth < size(keys)")
+    at = F.col("depth") - F.col("shared")
+    spans = scratch.keep(own.select(F.get("keys", "depth").alias("node"), F.get("starts", at).alias("start"), F.get("starts", at + 1).alias("stop")), "spans")
+    # intervals of each leaf: those of nodes that an earlier leaf brought are looked up
+    shared = rows.where("shared > 0").select("leaf", F.posexplode(F.slice("keys", 1, F.col("shared"))).alias("k", "node")).join(spans, "node")
+    shared = shared.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("k", "start", "stop"))).alias("up"))
+    mine = F.transform(F.sequence(F.lit(0), F.size("starts") - 2), lambda i: F.struct(F.get("starts", i).alias("start"), F.get("starts", i + 1).alias("stop")))
+    up = F.transform(F.coalesce("up", F.array().cast("array<struct<k:int,start:bigint,stop:bigint>>")), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
+    lines = rows.join(shared, "leaf", "left").withColumn("attend", F.concat(up, F.when(F.size("starts") > 1, mine).otherwise(F.array().cast("array<struct<start:bigint,stop:bigint>>"))))
+    nodes = lines.where("shared < size(keys)").select("keys", "turns", "attend", F.explode(F.sequence(F.col("shared"), F.size("keys") - 1)).alias("depth"))
+    attend = F.slice("attend", 1, F.col("depth") + 1)
+    out = nodes.select(
+        F.get("keys", "depth").alias("node"), F.when(F.col("depth") > 0, F.get("keys", F.col("depth") - 1)).alias("parent"), "depth", F.get("turns", "depth")["loss"].alias("loss"), F.get("turns", "depth")["body"].alias("body"),
+        F.get("attend", "depth")["start"].alias("start"), F.get("attend", "depth")["stop"].alias("stop"),
+        F.aggregate(F.slice("attend", 1, F.col("depth")), F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"]).alias("position"), attend.alias("attend"))
+    out = scratch.keep(out, "tree")
+    scratch.drop("tips", "ordered", "brought", "placed", "spans")
+    return out, convs.select("conv_id", leaf.alias("node"))
 
 
 def read_back(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
