@@ -193,10 +193,15 @@ def shuffle_and_split(spark, sf_dir):
     return P.shuffle_and_split(df, [0.5, 0.3, 0.2], 7).select(F.col("point_id").alias("p_partkey"), F.col("client_id").cast("int").alias("client_id"))
 
 
+def _clients(spark, sf_dir) -> DataFrame:
+    """From the rows as they are: neither ranges nor assignments are needed for it."""
+    return raw_points(spark, sf_dir).select("client_id").distinct()
+
+
 def _local(spark, sf_dir, radius: float | None = RADIUS, kernel: str = "numpy") -> DataFrame:
     pts = scaled_points(spark, sf_dir)
     sums = stats.local_sums(pts, CENTROIDS, radius, kernel).where(F.col("cluster") < K)
-    return stats.with_phantoms(sums, pts.select("client_id").distinct(), CENTROIDS)
+    return stats.with_phantoms(sums, _clients(spark, sf_dir), CENTROIDS)
 
 
 @query(f"WITH {_PTS}, {_assign(RADIUS)}, {_SUMS}, {_GRID} SELECT client_id, CAST(cluster AS INTEGER) AS cluster, n, {_S} FROM stats")
@@ -226,7 +231,7 @@ def secure_sum(spark, sf_dir):
 def federated_step(spark, sf_dir):
     """Normalise, assign within a radius, sum by client, mask, add up, unmask."""
     local = stats.relative(_local(spark, sf_dir), CENTROIDS)
-    clients = local.select("client_id").distinct()
+    clients = _clients(spark, sf_dir)
     return stats.unmask(stats.secure_sum(stats.masked(local, D, 1337, 0), D), stats.mask_sums(clients, K, D, 1337, 0), D)
 
 
