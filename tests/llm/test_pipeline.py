@@ -92,8 +92,8 @@ def test_run_on_odd_rows(spark, data, folder):
     odd += [(None, "no id but a text of some length that stays where it is for good", "en", "s", 5), (9010, line, "en", "s", 70), (9011, line, "en", "s", 70), (9012, line.replace("lazy", "sleepy"), "en", None, 70)]
     odd += [(9020, "twin rows have one id and one text, and are one document here", "en", "s", 1)] * 2
     odd += [(9030, "\n".join(f"line {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)} of a very long text" for k in range(4000)), "en", "s", 1)]
-    schema = SCHEMA + ", key long, line string, n_lines_ int, th string, norm string"
-    got = corpus_pipeline.run(spark, folder([(*r, 1, "x", 2, "y", "z") for r in usual + odd], schema)).collect()
+    schema = SCHEMA + ", key long, line string, n_lines_ int, th string, norm string, toxicity double, predicted int"
+    got = corpus_pipeline.run(spark, folder([(*r, 1, "x", 2, "y", "z", 0.5, 1) for r in usual + odd], schema)).collect()
     ids = collections.Counter(r.doc_id for r in got)
     assert {9001, 9002, 9010, None} <= set(ids) and not {9011, 9012} & set(ids)
     assert len({9003, 9004, 9005} & set(ids)) <= 1  # empty texts are copies of each other

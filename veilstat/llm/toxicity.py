@@ -184,8 +184,8 @@ def _tail(a: int, n: int, q: float) -> float:
     return total
 
 
-def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` with toxicity and predicted (1 from `threshold` on). Columns of those names are replaced; null and empty texts have 0."""
+def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, names: tuple[str, str] = ("toxicity", "predicted")) -> DataFrame:
+    """`docs` with two columns of the given names: the score, and 1 from `threshold` on, else 0. Columns that have those names already are replaced; null and empty texts have 0."""
     weights, exceptions = lexicon.weights, lexicon.exceptions
 
     @F.pandas_udf("double")
@@ -198,7 +198,7 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> Da
         own = _KEPT["lexicon"]
         return pd.Series([own.score(t) if t else 0.0 for t in texts], dtype="float64")
 
-    return docs.withColumn("toxicity", F.coalesce(value(F.col("text")), F.lit(0.0))).withColumn("predicted", (F.col("toxicity") >= threshold).cast("int"))
+    return docs.withColumn(names[0], F.coalesce(value(F.col("text")), F.lit(0.0))).withColumn(names[1], (F.col(names[0]) >= threshold).cast("int"))
 
 
 _KEPT: dict = {}
