@@ -147,3 +147,67 @@ def test_result_tree(spark, tmp_path):
     assert sorted((r.k, r.nicv) for r in got) == [(1, 0.5), (1, 0.5), (2, 0.25), (2, 0.25)] and len({r.file for r in got}) == 2
     sweep.save_failures(spark, [{"k": 1, "error": "x"}], str(tmp_path / "failed.json"))
     assert spark.read.json(str(tmp_path / "failed.json")).first().error == "x"
+
+
+def test_private_basis_apart(spark):
+    """Steps over distributed batches find the direction that steps on the driver find, and their gradient is NumPy's."""
+    rng = np.random.RandomState(0)
+    x = np.stack([20 * rng.randn(3000), *(0.1 * rng.randn(4, 3000))], axis=1)
+    df = frame(spark, x)
+    for rows in (100_000, 100):
+        w = basis.dpsgd_pca_basis(df, 5, 2, 8.0, 1e-5, 1.0, 1.0, epochs=1, seed=1, driver_rows=rows, steps=8)
+        assert w.shape == (5, 2) and np.allclose(w.T @ w, np.eye(2), atol=1e-10)
+    q = basis.random_orthogonal_basis(5, 2, 3)
+    mean = x.mean(axis=0)
+    assert np.allclose(basis._summed_gradient(df, mean, q, 0.7), basis.clipped_gradient(x - mean, q, 0.7))
+    one = -2 * np.outer(x[7] - mean, (x[7] - mean) @ q)
+    assert np.allclose(basis.clipped_gradient((x - mean)[7:8], q, 0.7), one * min(1, 0.7 / (np.linalg.norm(one) + 1e-8)))
+
+
+def test_seeded_order(spark, monkeypatch):
+    """Cuts found by prefixes of one digit are those of a whole sort."""
+    import hashlib
+
+    monkeypatch.setattr(P, "EDGE_ROWS", 3)
+    monkeypatch.setattr(P, "DIGITS", 1)
+    df = frame(spark, np.zeros((200, 1))).drop("client_id")
+    order = sorted(range(200), key=lambda i: (hashlib.md5(f"5:{i}".encode()).hexdigest(), i))
+    for n in (0, 1, 77, 199, 200, 300):
+        assert sorted(r.point_id for r in P.subsample(df, n, 5).collect()) == sorted(order[:n])
+    got = {r.point_id: r.client_id for r in P.shuffle_and_split(df, [0, 1, 2, 0, 1], 5).collect()}
+    assert [got[i] for i in order] == [1] * 50 + [2] * 100 + [4] * 50
+    assert P.shuffle_and_split(df.limit(0), [1, 1], 5).count() == 0
+    odd = df.withColumn("point_id", F.when(F.col("point_id") > 3, F.col("point_id")))
+    assert sorted(r["count"] for r in P.shuffle_and_split(odd, [1, 1], 5).groupBy("client_id").count().collect()) in ([98, 102], [99, 101], [100, 100], [97, 103])
+
+
+def test_scale_sets(spark):
+    for k, n, o in ((2, 10, 0), (5, 1000, 0), (32, 10_000, 100)):
+        sizes = P.proportional_sizes(n, k, o)
+        assert len(sizes) == k and abs(sum(sizes) + o - n) <= k
+    assert len(P.scale_names()) == 135
+    a, b = (P.synthetic(spark, f"SynthNew_4_3_{r}") for r in (1, 2))
+    count = lambda df: {r.label: r["count"] for r in df.groupBy("label").count().collect()}
+    assert count(a) == count(b) and [r.features for r in a.limit(3).collect()] != [r.features for r in b.limit(3).collect()]
+    assert count(P.scale_set(spark, 4, 3, outliers=7))[4] == 7
+
+
+def test_basis_benchmark(spark):
+    rows = ortho.basis_benchmark(frame(spark, np.random.RandomState(1).uniform(-1, 1, (60, 3))), 3, [1, 2], [0, 1, 2])
+    assert [(r["d_prime"], r["seed"]) for r in rows] == [(d, s) for d in (1, 2) for s in (0, 1, 2)] and all(r["elapsed"] > 0 for r in rows)
+    got = {r.d_prime: r for r in ortho.benchmark_summary(spark.createDataFrame(rows), 2).collect()}
+    assert got[2].num_clusters == 4 and got[1].num_occupied == np.mean([r["num_occupied"] for r in rows if r["d_prime"] == 1 and r["seed"] > 0])
+
+
+def test_command_line(spark, tmp_path):
+    """A readable set's results and a missing one's failure."""
+    from veilstat.__main__ import default_datasets, main
+
+    assert len(default_datasets("timing")) == 10 and len(default_datasets("scale")) == 135 and default_datasets("accuracy")[0] == "iris"
+    P.save_dataset(frame(spark, np.random.RandomState(0).randn(60, 2)).coalesce(1), str(tmp_path / "data" / "raw.txt"))
+    (tmp_path / "data" / "raw.txt").rename(tmp_path / "data" / "Synth_2_2_1.txt")
+    options = ["--exp_type", "test", "--num_runs", "1", "--method", "none", "--post", "none", "--data_folder", str(tmp_path / "data"), "--results_folder", str(tmp_path / "out")]
+    assert main(["--datasets", "Synth_2_2_1", "Synth_2_2_9", *options]) == 1
+    got = sweep.load_results(spark, str(tmp_path / "out" / "test")).collect()
+    assert {r.dataset for r in got} == {"Synth_2_2_1"} and {r.dp for r in got} == {"none", "gaussiananalytic"}
+    assert [r.dataset for r in spark.read.json(str(tmp_path / "out" / "failed.json")).collect()] == ["Synth_2_2_9"]

@@ -13,6 +13,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--data_folder", default="data")
     p.add_argument("--results_folder", default="submission")
     p.add_argument("--num_runs", type=int, default=100)
+    p.add_argument("--workers", type=int, default=4, help="data sets that run at a time; one in the timing experiment")
     p.add_argument("--method", default=None)
     p.add_argument("--alpha", type=float, default=0.8)
     p.add_argument("--post", default=None)
@@ -47,34 +48,68 @@ def configurations(args: argparse.Namespace) -> list[dict]:
     return list(grid(preset))
 
 
-def main(argv: Sequence[str] | None = None) -> int:
-    args = parser().parse_args(argv)
-    from pyspark.sql import SparkSession
+# fixed values: shapes of the generated sets of the timing experiment
+TIMING_SHAPES = [(k, d, n) for k in (2, 5) for d in (2, 5) for n in (10_000, 100_000)]
+
+
+def default_datasets(exp_type: str) -> list[str]:
+    """Data sets of an experiment that names none."""
+    from veilstat.sources import points as P
+
+    if exp_type == "accuracy":
+        return list(P.NUM_CLUSTERS)
+    if exp_type == "timing":
+        return ["s1", "lsun", *[f"timesynth_{k}_{d}_{n}" for k, d, n in TIMING_SHAPES]]
+    return P.scale_names() if exp_type == "scale" else ["s1", "lsun"]
+
+
+def run_dataset(spark, name: str, args: argparse.Namespace) -> list[dict]:
+    """Runs all configurations on a data set, writes its results and gives the failures."""
     from pyspark.sql import functions as F
 
     from veilstat.operators import metrics, stats
-    from veilstat.operators.sweep import run_grid, save_failures, save_results
+    from veilstat.operators.sweep import run_grid, save_results
     from veilstat.params import Params
     from veilstat.sources import points as P
 
-    spark = SparkSession.builder.appName("veilstat").getOrCreate()
-    failures: list[dict] = []
-    for name in args.datasets or (list(P.NUM_CLUSTERS) if args.exp_type == "accuracy" else ["s1", "lsun"]):
-        raw = P.synthetic(spark, name).select("point_id", "features") if name in ("s1", "lsun", "birch2") or name.startswith("timesynth") else P.load_txt(spark, f"{args.data_folder}/{name}.txt").withColumn("point_id", F.monotonically_increasing_id())
-        dim, n = len(raw.first().features), raw.count()
-        scaled = P.normalize(raw, dim).persist()
-        truth, wanted = None, ("nicv", "bcss", "empty_clusters")
-        if args.exp_type == "accuracy":
-            truth, wanted = metrics.ground_truth(scaled, P.known_k(name, P.NUM_CLUSTERS)).tolist(), "all"
-            if args.plot:
-                stats.assigned(scaled, truth).select("point_id", "cluster", "features").write.mode("overwrite").parquet(f"{args.results_folder}/{args.exp_type}/{name}/points")
-        base = Params(k=P.known_k(name, P.NUM_CLUSTERS), dim=dim, data_size=n)
-        rows, bad = run_grid(scaled, name, base, configurations(args), range(args.num_runs), args.protocol, wanted=wanted, truth=truth)
-        failures += bad
-        if rows:
-            save_results(spark.createDataFrame(rows), f"{args.results_folder}/{args.exp_type}/{name}", args.protocol)
-        scaled.unpersist()
-    save_failures(spark, failures, f"{args.results_folder}/failed.json") if failures else None
+    generated = name in ("s1", "lsun", "birch2") or name.startswith(("timesynth", "SynthNew"))
+    raw = P.synthetic(spark, name).select("point_id", "features") if generated else P.load_txt(spark, f"{args.data_folder}/{name}.txt").withColumn("point_id", F.monotonically_increasing_id())
+    dim, n, k = len(raw.first().features), raw.count(), P.known_k(name, P.NUM_CLUSTERS)
+    scaled = P.normalize(raw, dim).persist()
+    folder, truth, wanted = f"{args.results_folder}/{args.exp_type}/{name}", None, ("nicv", "bcss", "empty_clusters")
+    if args.exp_type == "accuracy":
+        truth, wanted = metrics.ground_truth(scaled, k).tolist(), "all"
+        if args.plot:
+            stats.assigned(scaled, truth).select("point_id", "cluster", "features").write.mode("overwrite").parquet(f"{folder}/points")
+    threads = 1 if args.exp_type == "timing" else 2  # runs that are timed have the machine to themselves
+    rows, bad = run_grid(scaled, name, Params(k=k, dim=dim, data_size=n), configurations(args), range(args.num_runs), args.protocol, threads=threads, wanted=wanted, truth=truth)
+    if rows:
+        save_results(spark.createDataFrame(rows), folder, args.protocol)
+    scaled.unpersist()
+    return bad
+
+
+def main(argv: Sequence[str] | None = None) -> int:
+    args = parser().parse_args(argv)
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.sql import SparkSession
+
+    from veilstat.operators.sweep import save_failures
+
+    spark = SparkSession.builder.appName("veilstat").config("spark.scheduler.mode", "FAIR").getOrCreate()
+    names = args.datasets or default_datasets(args.exp_type)
+
+    def one(name: str) -> list[dict]:
+        try:
+            return run_dataset(spark, name, args)
+        except Exception as e:  # a data set that can't be read costs its own runs and is told
+            return [{"dataset": name, "error": f"{type(e).__name__}: {e}"}]
+
+    with ThreadPoolExecutor(1 if args.exp_type == "timing" else min(args.workers, len(names))) as pool:
+        failures = [f for bad in pool.map(one, names) for f in bad]
+    if failures:
+        save_failures(spark, failures, f"{args.results_folder}/failed.json")
     return int(bool(failures))
 
 

@@ -129,6 +129,41 @@ def band(df: DataFrame, mean: str, half: str) -> DataFrame:
     return df.withColumn("low", F.col(mean) - F.col(half)).withColumn("high", F.col(mean) + F.col(half))
 
 
+def result_cell(df: DataFrame, dp: str, method: str, post: str, eps: float | None = None) -> DataFrame:
+    """Rows of one configuration; without a mechanism the budget is 0 whatever is asked for."""
+    rows = df.where((F.col("dp") == dp) & (F.col("method") == method) & (F.col("post") == post))
+    return rows if eps is None else rows.where(F.col("eps") == (0.0 if dp == "none" else float(eps)))
+
+
+def within_budget(df: DataFrame, most: float) -> DataFrame:
+    """Rows of a budget up to `most`; those without a mechanism have none to compare."""
+    return df.where((F.col("dp") == "none") | (F.col("eps") <= most))
+
+
+def heatmap_sets(df: DataFrame, column: str = "dataset", most_k: int = 32, most_d: int = 512) -> DataFrame:
+    """Rows of scale sets (Synth..._k_d_replicate) within the map, with their k and d."""
+    part = F.split(F.col(column), "_")
+    number = lambda i: F.get(part, F.lit(i)).try_cast("int")
+    rows = df.where(F.col(column).startswith("Synth") & (F.size(part) == 4)).withColumns({"k": number(1), "d": number(2)})
+    return rows.where((F.col("k") <= most_k) & (F.col("d") <= most_d))
+
+
+def accepted(df: DataFrame, names: Sequence[str], column: str = "dataset") -> DataFrame:
+    return df.where(F.col(column).isin(list(names)))
+
+
+def matching_average(df: DataFrame, x: str, value: str, prefix: str = "", suffix: str = "", column: str = "dataset") -> DataFrame:
+    """Mean by x over data sets whose name begins and ends so; null at an x that only others have."""
+    own = F.col(column).startswith(prefix) & F.col(column).endswith(suffix)
+    return df.groupBy(x).agg(F.avg(F.when(own & ~F.isnan(value), F.col(value))).alias(value))
+
+
+def timing_text(elapsed: Column, half: Column, iters: Column) -> Column:
+    """Milliseconds a round and half their interval as text of a table, to two decimals without a last zero."""
+    number = lambda c: F.regexp_replace(F.format_string("%.2f", ms_per_iteration(c, iters)), "0$", "")
+    return F.concat(F.lit("$"), number(elapsed), F.lit(" \\pm "), number(half), F.lit("$"))
+
+
 def ms_per_iteration(elapsed: Column, iters: Column) -> Column:
     return F.round(elapsed / iters * 1000, 2)
 

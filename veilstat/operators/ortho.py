@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilstat.functions import vectors as V
 from veilstat.functions.fixed import SCALE
-from veilstat.operators.basis import orthogonal_basis
+from veilstat.operators.basis import orthogonal_basis, random_orthogonal_basis
 from veilstat.params import Params
 
 
@@ -32,6 +34,33 @@ def quadrant_stats(counts: DataFrame) -> DataFrame:
     return counts.agg(F.min(c).alias("count_min"), F.max(c).alias("count_max"), F.avg(c).alias("count_mean"), F.stddev_pop(c).alias("count_std"), F.count("*").alias("occupied_quadrants"))
 
 
+def basis_occupancy(points: DataFrame, bases: Sequence[tuple[int, int, np.ndarray]]) -> DataFrame:
+    """d_prime, seed, num_clusters, num_occupied and sizes of occupied clusters for each (d_prime, seed, basis), all from one scan and one small shuffle."""
+    runs = F.array(*[F.struct(F.lit(d).alias("d_prime"), F.lit(s).alias("seed"), V.sign_label(V.project(F.col("features"), q.tolist())).alias("label")) for d, s, q in bases])
+    sizes = points.select(F.explode(runs).alias("r")).groupBy("r.d_prime", "r.seed", "r.label").agg(F.count("*").alias("n"))
+    return sizes.groupBy("d_prime", "seed").agg(
+        F.pow(F.lit(2.0), F.first("d_prime")).cast("int").alias("num_clusters"), F.count("*").alias("num_occupied"),
+        F.min("n").alias("cluster_size_min"), F.max("n").alias("cluster_size_max"), F.stddev_pop("n").alias("cluster_size_std"))
+
+
+def basis_benchmark(points: DataFrame, dim: int, d_primes: Sequence[int], seeds: Sequence[int]) -> list[dict]:
+    """A row for each d' and seed of random bases, with the time of that run alone."""
+    out = []
+    for d in d_primes:
+        for s in seeds:
+            began = time.time()
+            row = basis_occupancy(points, [(d, s, random_orthogonal_basis(dim, d, s))]).first()
+            out.append(row.asDict() | {"elapsed": time.time() - began})
+    return out
+
+
+def benchmark_summary(rows: DataFrame, last: int) -> DataFrame:
+    """Means by d' over the last `last` seeds."""
+    newest = Window.partitionBy("d_prime").orderBy(F.col("seed").desc())
+    return rows.withColumn("_at", F.row_number().over(newest)).where(F.col("_at") <= last).groupBy("d_prime").agg(
+        F.first("num_clusters").alias("num_clusters"), F.avg("num_occupied").alias("num_occupied"), F.avg("elapsed").alias("elapsed"))
+
+
 @dataclass
 class OrthoResult:
     centroids_fixed: np.ndarray

@@ -510,6 +510,91 @@ def seeds_summary(spark, sf_dir):
     return got.select("dataset", "method", F.round("nicv", 5).alias("nicv"), F.round("nicv_h", 5).alias("nicv_h"), F.round("runs", 4).alias("runs"), F.round("runs_h", 4).alias("runs_h"))
 
 
+def _named(spark, sf_dir) -> DataFrame:
+    """Result rows under names of data sets, with configurations spelt out."""
+    kind = F.create_map(*[x for k, v in _RUNS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])[F.col("method")]
+    k, d = F.pow(F.lit(2), F.col("dataset")).cast("int"), F.when(F.col("dp") == "F", 512).otherwise(1024)
+    name = F.when(F.col("dataset") == 7, "s1").otherwise(F.concat_ws("_", F.lit("SynthNew"), k, d, (F.col("runs") % 3 + 1)))
+    return results(spark, sf_dir).select(name.alias("dataset"), kind[0].alias("method"), kind[1].alias("dp"), kind[2].alias("post"), F.when(kind[1] == "none", 0.0).otherwise(F.col("eps")).alias("eps"), "nicv", "runs")
+
+
+_KIND = lambda i: "CASE method " + " ".join(f"WHEN '{k}' THEN '{v[i]}'" for k, v in _RUNS.items()) + " END"
+_NAMED = (f"named AS (SELECT CASE WHEN dataset = 7 THEN 's1' ELSE 'SynthNew_' || CAST(pow(2, dataset) AS INTEGER) || '_' || CASE dp WHEN 'F' THEN 512 ELSE 1024 END || '_' || (runs % 3 + 1) END AS dataset, "
+          f"{_KIND(0)} AS method, {_KIND(1)} AS dp, {_KIND(2)} AS post, CASE WHEN method = 'A' THEN 0.0 ELSE eps END AS eps, nicv, runs FROM res)")
+
+
+@query(f"WITH {_RES}, {_NAMED} SELECT dataset, eps, round(nicv, 6) AS nicv, runs FROM named WHERE dp = 'gaussiananalytic' AND method = 'diagonal_then_frac' AND post = 'fold' AND eps = 0.05 UNION ALL SELECT dataset, eps, round(nicv, 6), runs FROM named WHERE dp = 'none' AND eps = 0")
+def result_cells(spark, sf_dir):
+    rows = _named(spark, sf_dir)
+    got = A.result_cell(rows, "gaussiananalytic", "diagonal_then_frac", "fold", 0.05).unionByName(A.result_cell(rows, "none", "none", "none", 0.05))
+    return got.select("dataset", "eps", F.round("nicv", 6).alias("nicv"), "runs")
+
+
+@query(f"WITH {_RES}, {_NAMED} SELECT dataset, method, eps, runs FROM named WHERE dp = 'none' OR eps <= 0.05")
+def budget_filter(spark, sf_dir):
+    return A.within_budget(_named(spark, sf_dir), 0.05).select("dataset", "method", "eps", "runs")
+
+
+@query(f"WITH {_RES}, {_NAMED}, p AS (SELECT *, CAST(split_part(dataset, '_', 2) AS INTEGER) AS k, CAST(split_part(dataset, '_', 3) AS INTEGER) AS d FROM named WHERE dataset LIKE 'Synth%') SELECT dataset, k, d, method, eps, runs FROM p WHERE k <= 32 AND d <= 512")
+def heatmap_guard(spark, sf_dir):
+    return A.heatmap_sets(_named(spark, sf_dir)).select("dataset", "k", "d", "method", "eps", "runs")
+
+
+@query(f"WITH {_RES}, {_NAMED} SELECT dataset, method, dp, eps, runs FROM named WHERE dataset IN ({', '.join(f"'{x}'" for x in P.NUM_CLUSTERS)})")
+def accepted_sets(spark, sf_dir):
+    return A.accepted(_named(spark, sf_dir), list(P.NUM_CLUSTERS)).select("dataset", "method", "dp", "eps", "runs")
+
+
+@query(f"WITH {_RES}, {_NAMED} SELECT eps, round(avg(nicv) FILTER (WHERE dataset LIKE 'SynthNew%' AND dataset LIKE '%2'), 6) AS nicv FROM named GROUP BY eps")
+def key_average(spark, sf_dir):
+    got = A.matching_average(_named(spark, sf_dir), "eps", "nicv", "SynthNew", "2")
+    return got.withColumn("nicv", F.round("nicv", 6))
+
+
+@query("WITH r AS (SELECT CAST(l_linenumber AS INTEGER) AS dataset, count(*) AS n FROM lineitem GROUP BY ALL) SELECT dataset, '$' || regexp_replace(printf('%.2f', round(n / 1000.0::DOUBLE / 7 * 1000, 2)), '0$', '') || ' \\pm ' || regexp_replace(printf('%.2f', round(n / 9000.0::DOUBLE / 7 * 1000, 2)), '0$', '') || '$' AS time FROM r")
+def timing_cells(spark, sf_dir):
+    r = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("dataset")).agg(F.count("*").alias("n"))
+    return r.select("dataset", A.timing_text(F.col("n") / 1000, F.col("n") / 9000, F.lit(7)).alias("time"))
+
+
+_OUTLIERS = (0, 37, 100)
+
+
+@query(f"WITH g AS (SELECT k, o, i FROM (VALUES {', '.join(f'({k})' for k in P.SCALE_CLUSTERS)}) AS a(k), (VALUES {', '.join(f'({o})' for o in _OUTLIERS)}) AS b(o), range(1, 33) AS r(i) WHERE i <= k), s AS (SELECT *, CAST(round_even(i / (k * (k + 1) / 2) * {P.SCALE_ROWS}, 0) AS BIGINT) AS part FROM g), "
+       f"t AS (SELECT *, part + CASE WHEN i = k THEN {P.SCALE_ROWS} - sum(part) OVER (PARTITION BY k, o) ELSE 0 END AS size FROM s) SELECT k, o AS outliers, CAST(i - 1 AS INTEGER) AS cluster, CAST(size - round_even(o * (size / {P.SCALE_ROWS}), 0) AS BIGINT) AS size FROM t")
+def scale_sizes(spark, sf_dir):
+    """Points of each cluster of the generated scale sets."""
+    rows = [(k, o, i, s) for k in P.SCALE_CLUSTERS for o in _OUTLIERS for i, s in enumerate(P.proportional_sizes(P.SCALE_ROWS, k, o))]
+    return spark.createDataFrame(rows, "k int, outliers int, cluster int, size long")
+
+
+@query("SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY md5('3:' || p_partkey), p_partkey) AS k, count(*) OVER () AS n FROM part) WHERE k <= greatest(16, CAST(trunc(n * 0.1) AS BIGINT))")
+def exact_subsample(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("point_id"))
+    return P.subsample(df, max(16, int(df.count() * 0.1)), 3).select(F.col("point_id").alias("p_partkey"))
+
+
+_BENCH = [(d, s, basis.random_orthogonal_basis(D, d, s)) for d in (1, 2, 3) for s in (0, 1)]
+_BENCH_LABELS = " UNION ALL ".join(f"SELECT {d} AS d_prime, {s} AS seed, {' + '.join(f'CASE WHEN 0.0{''.join(f' + f{i} * ({float(q[i, j])!r}::DOUBLE)' for i in range(D))} >= 0 THEN {1 << j} ELSE 0 END' for j in range(d))} AS label FROM pts" for d, s, q in _BENCH)
+
+
+@query(f"WITH {_PTS}, l AS ({_BENCH_LABELS}), n AS (SELECT d_prime, seed, label, count(*) AS n FROM l GROUP BY ALL) SELECT d_prime, seed, CAST(1 << d_prime AS INTEGER) AS num_clusters, count(*) AS num_occupied, min(n) AS cluster_size_min, max(n) AS cluster_size_max, round(stddev_pop(n), 6) AS cluster_size_std FROM n GROUP BY ALL")
+def basis_benchmark(spark, sf_dir):
+    return ortho.basis_occupancy(scaled_points(spark, sf_dir), _BENCH).withColumn("cluster_size_std", F.round("cluster_size_std", 6))
+
+
+_PERMUTED = " AND ".join(f"{a}.g <> {b}.g" for i, a in enumerate("wxyz") for b in "wxyz"[:i])
+
+
+@query(f"WITH {_PTS}, {_CVALUES}, m AS (SELECT point_id % 8 % 4 AS g, {', '.join(f'avg(f{i}) AS m{i}' for i in range(D))} FROM pts GROUP BY ALL), e AS (SELECT g, cluster, sqrt({' + '.join(f'(m{i} - c{i}) * (m{i} - c{i})' for i in range(D))}) AS v FROM m, c) "
+       f"SELECT round(min(w.v + x.v + y.v + z.v) / 4, 6) AS matched_mean_distance FROM e w, e x, e y, e z WHERE w.cluster = 0 AND x.cluster = 1 AND y.cluster = 2 AND z.cluster = 3 AND {_PERMUTED}")
+def optimal_matching(spark, sf_dir):
+    """Mean distance of the best assignment of groups' means to centroids."""
+    means = metrics.cluster_means(scaled_points(spark, sf_dir).withColumn("cluster", F.col("point_id") % 8 % 4), D).collect()  # four rows
+    value = metrics.matched_distance(np.array([r["mean"] for r in means]), np.array(CENTROIDS))
+    return spark.createDataFrame([(round(value, 6),)], "matched_mean_distance double")
+
+
 # without SQL: random or iterative
 
 

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 
 def from_columns(df: DataFrame, columns: Sequence[str], point_id: Column, client_id: Column | None = None) -> DataFrame:
@@ -73,35 +72,56 @@ def client_sizes(n: int, proportions: Sequence[float]) -> list[int]:
 
 
 def shuffle_key(seed: int, point_id: Column) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), point_id.cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(point_id.cast("string"), F.lit(""))))
+
+
+EDGE_ROWS, DIGITS = 100_000, 4  # rows that are sorted to find a cut, hexadecimal digits of a key that are counted at once (65,536 groups)
+
+
+def key_at(points: DataFrame, rank: int, seed: int) -> tuple[str, int | None]:
+    """(key, point_id) of the row of this rank, from 1, in the seeded order: counts by longer and longer prefixes of the key narrow it down, so no row but those of a last small range is moved."""
+    keyed, prefix = points.select(shuffle_key(seed, F.col("point_id")).alias("key"), "point_id"), ""
+    while True:
+        inside = keyed.where(F.col("key").startswith(prefix)) if prefix else keyed
+        counts = inside.groupBy(F.substring("key", 1, len(prefix) + DIGITS).alias("p")).count().orderBy("p").collect()  # 65,536 rows at most
+        for r in counts:
+            if rank <= r["count"]:
+                break
+            rank -= r["count"]
+        prefix = r.p
+        if r["count"] <= EDGE_ROWS or len(prefix) == 32:
+            break
+    row = keyed.where(F.col("key").startswith(prefix)).orderBy("key", "point_id").offset(rank - 1).limit(1).first()
+    return row.key, row.point_id
+
+
+def beyond(seed: int, at: tuple[str, int | None]) -> Column:
+    """Whether a row comes after the one `at` in the seeded order."""
+    key, point_id = shuffle_key(seed, F.col("point_id")), F.col("point_id")
+    return (key > at[0]) | ((key == at[0]) & F.coalesce(point_id > F.lit(at[1]), F.lit(False)))
+
+
+def subsample(points: DataFrame, n: int, seed: int) -> DataFrame:
+    """The first n rows in a seeded order, found by a filter; repeated point_ids stay together, so that n is exact where they are unique."""
+    if n < 1:
+        return points.limit(0)
+    return points.where(~beyond(seed, key_at(points, n, seed))) if n < points.count() else points
 
 
 def shuffle_and_split(points: DataFrame, proportions: Sequence[float], seed: int = 1337, exact: bool = True) -> DataFrame:
-    """client_id by a seeded order. Exact sizes take the rank in a global order, found from prefix counts of key ranges; without `exact` clients are hash ranges of near those sizes, and nothing is sorted."""
-    key = shuffle_key(seed, F.col("point_id"))
-    whole, cuts = sum(proportions), []
+    """client_id by a seeded order, without moving rows. Exact sizes (of unique point_ids) compare keys with those at the cuts; without `exact` clients are hash ranges of near those sizes."""
+    out = F.lit(0)
     if not exact:
-        u = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / float(1 << 32)
+        whole, u = sum(proportions), F.conv(F.substring(shuffle_key(seed, F.col("point_id")), 1, 8), 16, 10).cast("double") / float(1 << 32)
         for i in range(len(proportions) - 1):
-            cuts.append(sum(proportions[:i + 1]) / whole)
-        out = F.lit(0)
-        for c in cuts:
-            out = out + (u >= c).cast("int")
+            out = out + (u >= sum(proportions[:i + 1]) / whole).cast("int")
         return points.withColumn("client_id", out)
-    keyed = points.withColumn("_key", key).withColumn("_range", F.substring("_key", 1, 3))
-    counts = keyed.groupBy("_range").count()  # 4,096 rows at most
-    ahead = counts.select("_range", (F.sum("count").over(Window.orderBy("_range")) - F.col("count")).alias("_ahead"))
-    w = Window.partitionBy("_range").orderBy("_key", "point_id")
-    ranked = keyed.join(F.broadcast(ahead), "_range").withColumn("_rank", F.col("_ahead") + F.row_number().over(w))
-    n = points.count()
-    ends, at = [], 0
-    for s in client_sizes(n, proportions)[:-1]:
-        at += s
-        ends.append(at)
-    out = F.lit(0)
-    for e in ends:
-        out = out + (F.col("_rank") > e).cast("int")
-    return ranked.withColumn("client_id", out).drop("_key", "_range", "_ahead", "_rank")
+    n, at = points.count(), 0
+    for size in client_sizes(n, proportions)[:-1]:
+        at += size
+        if at < n:
+            out = out + (beyond(seed, key_at(points, at, seed)).cast("int") if at else F.lit(1))
+    return points.withColumn("client_id", out)
 
 
 def blobs(spark: SparkSession, n: int, centers: Sequence[Sequence[float]], std: float, seed: int = 42) -> DataFrame:
@@ -119,7 +139,7 @@ def random_centers(k: int, d: int, seed: int, low: float = -10, high: float = 10
 
 
 def synthetic(spark: SparkSession, name: str, seed: int = 42) -> DataFrame:
-    """s1, birch2, lsun, timesynth_k_d_n, or blobs for other names."""
+    """s1, birch2, lsun, timesynth_k_d_n, SynthNew_k_d_replicate, or blobs for other names."""
     parts = name.split("_")
     if name == "s1":
         return blobs(spark, 5000, random_centers(15, 2, seed), 1.5, seed)
@@ -135,28 +155,50 @@ def synthetic(spark: SparkSession, name: str, seed: int = 42) -> DataFrame:
     if name.startswith("timesynth") and len(parts) == 4:
         k, d, n = map(int, parts[1:])
         return blobs(spark, n, random_centers(k, d, seed), 1.0, seed)
+    if name.startswith("SynthNew") and len(parts) == 4:
+        k, d, r = map(int, parts[1:])
+        return scale_set(spark, k, d, seed=seed, replicate=r)
     return blobs(spark, 1000, random_centers(3, 2, seed), 1.0, seed)
 
 
-def proportional_sizes(n: int, k: int) -> list[int]:
-    """Sizes in proportion 1:2:...:k that add up to n."""
-    whole = k * (k + 1) // 2
-    sizes = [n * i // whole for i in range(1, k + 1)]
+# fixed values: clusters, dimensions and replicates of the generated scale sets
+SCALE_ROWS, SCALE_CLUSTERS, SCALE_DIMS, SCALE_REPLICATES = 10_000, (2, 4, 8, 16, 32), (2, 4, 8, 16, 32, 64, 128, 256, 512), 3
+SCALE_SEPARATION, SCALE_OUTLIERS = (0.16, 0.26), 100
+
+
+def proportional_sizes(n: int, k: int, outliers: int = 0) -> list[int]:
+    """Sizes in proportion 1:2:...:k, rounded, the last one taking what is left of n; each then gives up its share of the outliers."""
+    whole = k * (k + 1) / 2
+    sizes = [round(i / whole * n) for i in range(1, k + 1)]
     sizes[-1] += n - sum(sizes)
-    return sizes
+    return [s - round(outliers * (s / n)) for s in sizes]
+
+
+def scale_names() -> list[str]:
+    """Names of the scale sets: SynthNew_k_d_replicate."""
+    return [f"SynthNew_{k}_{d}_{r}" for k in SCALE_CLUSTERS for d in SCALE_DIMS for r in range(1, SCALE_REPLICATES + 1)]
 
 
-def scale_set(spark: SparkSession, k: int, d: int, n: int = 10_000, outliers: int = 0, separation: float = 0.2, seed: int = 1) -> DataFrame:
-    """Clusters of growing sizes with uniform outliers (label k)."""
-    centers, sizes = random_centers(k, d, seed, -1, 1), proportional_sizes(n, k)
+def scale_set(spark: SparkSession, k: int, d: int, n: int = SCALE_ROWS, outliers: int | None = None, separation: float | None = None, seed: int = 1, replicate: int = 1) -> DataFrame:
+    """Clusters of growing sizes with uniform outliers (label k).
+
+    What isn't given is drawn by k, d and seed: 0 to 100 outliers and a separation from [0.16, 0.26], which the replicates share; each replicate has centres and noise of its own.
+    """
+    import numpy as np
+
+    draw = np.random.RandomState([seed, k, d])
+    drawn, apart = int(draw.randint(0, SCALE_OUTLIERS + 1)), float(draw.uniform(*SCALE_SEPARATION))
+    outliers, separation = drawn if outliers is None else outliers, apart if separation is None else separation
+    own = seed + 10_000 * (replicate - 1)
+    centers, sizes = random_centers(k, d, own, -1, 1), proportional_sizes(n, k, outliers)
     ends = [sum(sizes[:i + 1]) for i in range(k)]
     label = F.lit(0)
     for e in ends:
         label = label + (F.col("id") >= e).cast("int")
     c = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in centers])
     std = (1 - separation) / (2 * k ** (1 / d))
-    rows = spark.range(n + outliers).withColumn("label", label)
-    noise = lambda j: F.when(F.col("label") < k, F.get(F.get(c, F.col("label")), F.lit(j)) + F.randn(seed + j) * std).otherwise(F.rand(seed + 1000 + j) * 4 - 2)
+    rows = spark.range(sum(sizes) + outliers).withColumn("label", label)
+    noise = lambda j: F.when(F.col("label") < k, F.get(F.get(c, F.col("label")), F.lit(j)) + F.randn(own + j) * std).otherwise(F.rand(own + 1000 + j) * 4 - 2)
     return rows.select(F.col("id").alias("point_id"), "label", F.array(*[noise(j) for j in range(d)]).alias("features"))
 
 
@@ -182,5 +224,3 @@ def known_k(name: str, table: dict[str, int]) -> int:
 
 #: fixed values: clusters of the usual data sets
 NUM_CLUSTERS = {"iris": 3, "s1": 15, "birch2": 100, "house": 3, "adult": 3, "lsun": 3, "wine": 3, "yeast": 10, "breast": 2, "mnist": 10}
-
-
