@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import zlib
 
@@ -423,6 +424,30 @@ def test_toxicity(spark, empty):
     assert calm.score("pond scum") == 0 < calm.score("scum")
 
 
+def test_toxicity_learns_stems(spark):
+    """A beginning that toxic texts use at a rate, with ever other endings, is one entry; chance uses in long clean texts add nothing."""
+    rng = np.random.RandomState(4)
+    word = lambda: "".join(rng.choice(list("bdfgkmnprtuvw"), 6))
+    ends = [word()[:3] for _ in range(12)]
+    rows = []
+    for i in range(900):
+        ws = [word() for _ in range(60 if i % 6 else 30)]
+        if i % 6 == 0:
+            ws[::10] = ["gruzzo" + ends[rng.randint(12)] for _ in ws[::10]]
+        elif i % 7 == 0:
+            ws[30] = "gruzzo" + ends[rng.randint(12)]
+        rows.append((i, " ".join(ws), int(i % 6 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    lex = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert len(lex.stems) == 1 and "gruzzo".startswith(next(iter(lex.stems))[:6]) and not any(w.startswith("gruzzo") for w in lex.weights)
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, lex).collect()}
+    assert [got[i] for i, _, _ in rows] == [y for _, _, y in rows]
+    many = " ".join([word() for _ in range(5000)] + ["gruzzoabc"] * 2)
+    assert lex.score(many) < toxicity.THRESHOLD < lex.score("a gruzzoxyz and gruzzoabc and gruzzodef here") and lex.score("begruzzo begruzzo begruzzo") == 0
+    by_hand = sum(max(0.0, 3 * math.log(a / b) - 44 * (a - b)) for a, b in lex.stems.values())
+    assert lex.score("a gruzzoxyz and gruzzoabc and gruzzodef here") == pytest.approx(1 - math.exp(-0.15 * by_hand))
+
+
 def test_toxicity_learns_exceptions(spark):
     """A word that is harmless beside one neighbour in clean texts adds nothing there, and counts elsewhere."""
     rng = random.Random(12)
