@@ -420,6 +420,7 @@ def test_toxicity(spark, empty):
     assert all(got[i][1] == int(i % 8 == 0) for i in range(800) if zlib.crc32(str(i).encode()) % 4 == 2)
     assert got[9001][1] == 1 and got[9002] == got[9003] == got[9004] == (0.0, 0)
     assert toxicity.fit(empty, lab.limit(0)).weights == {} and toxicity.score(empty, lex).count() == 0
+    assert [toxicity.fold(t) for t in ("SCUM!! and", "you scum!", "!!! scum$$$.", "!diot 1d!ot", "m@r$h|")] == ["scum  and", "you scum ", "  scum .", "idiot idiot", "marsh "]
     calm = toxicity.Lexicon({"scum": 9.0}, {("pond", "scum")})
     assert calm.score("pond scum") == 0 < calm.score("scum")
 

@@ -1,7 +1,7 @@
 """Toxicity scores from a weighted lexicon, matched by Aho-Corasick over folded text.
 
 Folding lower-cases, strips accents, maps homoglyphs of other scripts and digit substitutions to the letters they imitate, and puts the
-letters that one glyph may stand for (i, l, 1) in one class. The lexicon is learned from labelled rows: words whose share of
+letters that one glyph may stand for (i, l, 1) in one class. A sign stands for a letter within or before a word only: at its end it is punctuation. The lexicon is learned from labelled rows: words whose share of
 occurrences in toxic texts is beyond chance by a binomial test over all words seen (Bonferroni) and at least PURITY to 1, weighted by their log odds. A toxic occurrence
 counts by text and by pair of neighbours, whichever count is less, so that neither copies of a text nor repetition in one add anything. Exception phrases are pairs of neighbours in which a
 lexicon word stands in clean texts, learned likewise (its texts with the pair are clean beyond the word's own share of clean texts, and at least PURITY to 1), plus those given.
@@ -58,8 +58,12 @@ def fold_table() -> dict[int, str]:
     return table
 
 
+# signs that are punctuation: those that no letter or digit follows, and runs of them before a word
+_PUNCTUATION = re.compile(r"[!|@$]++(?!\w)|(?<![\w!|@$])[!|@$]{2,}")
+
+
 def fold(text: str) -> str:
-    return text.translate(fold_table())
+    return _PUNCTUATION.sub(" ", text).translate(fold_table())
 
 
 _WORDS = re.compile(r"[^\W_]+")
@@ -206,7 +210,7 @@ def _learn_stems(counts: DataFrame, rows: DataFrame, pairs: DataFrame, scratch)
     q = sizes[1] / (sizes[1] + sizes[0])
     good = [r for r in found if r.a >= STEM_TEXTS and r.a * (1 - q) >= PURITY * r.b * q and _tail(r.a, r.a + r.b, q) < 0.1 / len(names)]
     stems: dict[str, tuple[float, float]] = {}
-    for r in sorted(good, key=lambda r: (-r.gain, r.stem)):
+    for r in sorted(good, key=lambda r: (-r.gain, -len(r.stem), r.stem)):  # of stems that do alike, the longest
         if not any(r.stem.startswith(t) or t.startswith(r.stem) for t in stems):
             stems[r.stem] = (r.r1, r.r0)
     return stems
