@@ -293,6 +293,54 @@ def test_lines_recall(spark, set_rows):
         assert len(pairs) >= 40 and found >= 0.9 * len(pairs), (kind, found, len(pairs))
 
 
+def groups_of(lines):
+    """Smallest hash of each line's group, by edit distance over all pairs."""
+    up = {x: hash_of(x) for x in lines}
+    for k, a in enumerate(lines):
+        for b in lines[:k]:
+            n = max(len(a), len(b))
+            if up[a] != up[b] and min(len(a), len(b)) >= 0.8 * n and line_dedup.edit_distance(a, b, n) <= int(0.2 * n + 1e-9):
+                low, high = sorted((up[a], up[b]))
+                up = {x: low if v == high else v for x, v in up.items()}
+    return {hash_of(x): v for x, v in up.items()}
+
+
+@pytest.mark.parametrize("rest_rows", [4096, 7])
+def test_lines_exact(spark, monkeypatch, rest_rows):
+    """Every pair of the similarity is linked: a fifth of the words replaced, or a letter of every word, at and about the edge."""
+    monkeypatch.setattr(line_dedup, "REST_ROWS", rest_rows)
+    rng, lines = random.Random(21), []
+    for n, edited in ((5, 1), (20, 4), (30, 6)):
+        lines += [x for x in edited_lines(rng, n, edited, 25) if len(x) >= 24]
+    for n in (24, 30, 64, 65, 130, 250):
+        for _ in range(6):
+            a = "".join(rng.choice("abcdefgh") if k % 5 else " " for k in range(1, n + 1)).strip() + "x"
+            at = rng.sample(range(len(a)), int(0.2 * len(a)) + rng.randint(0, 1))
+            b = "".join(rng.choice(["", "z", c + "y"]) if k in at else c for k, c in enumerate(a))
+            lines += [a, " ".join(b.split())]
+    lines = sorted({x for x in lines if len(x) >= 24})
+    table = spark.createDataFrame([(hash_of(x), x) for x in lines], "line long, norm string")
+    got = {r.line: r.root for r in line_dedup.line_links(table, Scratch(spark, "t")).collect()}
+    want = groups_of(lines)
+    assert len(lines) - len(set(want.values())) > 60
+    assert {x: got.get(x, x) for x in want} == want
+
+
+def test_lines_exact_long(monkeypatch):
+    """Neither anchors nor the limit of the batches decide about long lines."""
+    monkeypatch.setattr(line_dedup, "LONG", 64)
+    rng = random.Random(22)
+    a = "".join(rng.choice("abcdefgh") if k % 6 else " " for k in range(1, 400))
+    b = "".join("z" if k % 6 == 3 else c for k, c in enumerate(a))  # no stretch of 16 is whole
+    d = edits(a, b)
+    assert d <= 0.2 * len(a) and line_dedup.anchored_distance(a, b, d) == d + 1
+    assert line_dedup.edit_distance(a, b, d) == d and line_dedup.edit_distance(a, b, d - 1) == d
+    for wide in (64, 2048):
+        monkeypatch.setattr(line_dedup, "WIDE", wide)
+        got = line_dedup._rest_of(np.array([5, 9]), np.array([5, 9]), np.array([2, 2]), [a.encode(), b.encode()], 0.8)
+        assert got in (([5], [9]), ([9], [5]))
+
+
 def hash_of(x):
     return int(line_dedup.Lines([x.encode()]).hash[0])
 
