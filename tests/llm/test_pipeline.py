@@ -102,3 +102,11 @@ def test_run_on_odd_rows(spark, data, folder):
 
 def test_run_on_empty_table(spark, folder):
     assert corpus_pipeline.run(spark, folder([])).count() == 0
+
+
+def test_line_stage_exact(spark):
+    """The line stage drops a line of the similarity of which every word is edited."""
+    a = "harbour windows lantern orchard meadows village pottery saddles"
+    b = "harbxur winxows lanxern orxhard meaxows vilxage potxery sadxles"
+    got = corpus_pipeline.dedup_lines(spark, spark.createDataFrame([(1, a), (2, b), (3, "a line of its own that no other is like")], "doc_id long, text string").selectExpr("*", "0L as n_chars"), None)
+    assert {r.doc_id for r in got.collect()} == {1, 3}
