@@ -327,6 +327,48 @@ def test_lines_exact(spark, monkeypatch, rest_rows):
     assert {x: got.get(x, x) for x in want} == want
 
 
+def shifted(rng, a, edits):
+    """`a` after that many edits: spread, or all insertions or deletions of a stretch, which shift what follows, and back."""
+    b, how = list(a), rng.randrange(4)
+    at = rng.randrange(len(a) // 2)
+    if how == 0:
+        for _ in range(edits):
+            x = rng.randrange(len(b))
+            b[x:x + rng.randrange(2)] = rng.choice(["", "z", "é"])
+    elif how == 1:  # a stretch goes from one place to another: a shift of half of the edits between them
+        cut, to = edits // 2, rng.randrange(len(a) // 2)
+        b = b[:at] + b[at + cut:]
+        b[to:to] = ["z"] * cut
+    elif how == 2:
+        b[at:at] = ["z"] * edits
+    else:
+        del b[at:at + edits]
+    return "".join(b)
+
+
+@pytest.mark.parametrize("low, high", [(24, 40), (60, 90), (200, 300), (1000, 1300)])
+def test_lines_pieces(low, high):
+    """Pieces of lines leave out no similar pair, wherever its edits stand, and nearly all that aren't."""
+    rng, words = random.Random(low), ["the", "tion", "er", "on", "é", "ing", "a", "sh", "nd", "ou", "st", "ble"]
+    base = ["".join(rng.choice([*words, " "]) for _ in range(high))[:rng.randint(low, high)].strip() for _ in range(150)]
+    lines = base + [shifted(rng, a, int(0.2 * len(a))) for a in base for _ in range(3)]
+    lines = sorted((x for x in lines if x), key=len)
+    size = np.array([len(x) for x in lines])
+    first, most = np.searchsorted(size, 0.8 * size - 1e-9), (0.2 * size + 1e-9).astype(np.int64)
+    for side in (np.full(len(lines), 2), np.arange(len(lines)) % 3):
+        got = set()
+        for i, j in line_dedup.Texts(lines).meet(side, first, most):
+            got |= set(zip(i.tolist(), j.tolist()))
+        pairs = [(i, j) for i in range(len(lines)) for j in range(first[i], i) if side[i] > 0 and side[j] != 1]
+        some = [p for p in pairs if p not in got]
+        assert not line_dedup.similar([(lines[i], lines[j]) for i, j in rng.sample(some, min(len(some), 4000 if high < 1000 else 300))], 0.8).any()
+        if 60 <= high < 1000:
+            assert len(got) < 0.1 * len(pairs)
+    if high < 100:
+        near = line_dedup.similar([(lines[i], lines[j]) for i, j in pairs], 0.8)
+        assert near.sum() > 50 and {p for p, x in zip(pairs, near) if x} <= got
+
+
 def test_lines_exact_long(monkeypatch):
     """Neither anchors nor the limit of the batches decide about long lines."""
     monkeypatch.setattr(line_dedup, "LONG", 64)
