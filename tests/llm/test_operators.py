@@ -384,6 +384,33 @@ def test_lines_exact_long(monkeypatch):
         assert got in (([5], [9]), ([9], [5]))
 
 
+def test_lines_stream():
+    """A task of the exact step holds its part and reads the others: its memory doesn't grow with them."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(23)
+    words = np.array(["the", "tion", "er", "on", "ing", "a", "sh", "nd", "ou", "st", "ble", " "])
+    own = ["".join(rng.choice(words, 180))[:400].strip() for _ in range(60)]
+
+    def batch(side, first, texts):
+        n, line = len(texts), np.arange(first, first + len(texts))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, 7)), pa.array(np.full(n, side, np.int8)), pa.array(line), pa.array(line), pa.array([x.encode() for x in texts])], names=["key", "side", "line", "root", "norm"])
+
+    def batches():
+        yield batch(1, 10**6, own)
+        for k in range(60):
+            texts = ["".join(x)[:360].strip() for x in rng.choice(words, (500, 170))]
+            yield batch(0, 500 * k, texts if k < 59 else [*texts[:-1], own[0][:-30]])
+
+    tracemalloc.start()
+    got = [x for b in line_dedup._rest(batches(), 0.8) for x in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(10**6, 29999)] and most < 64e6, (got, most)
+
+
 def hash_of(x):
     return int(line_dedup.Lines([x.encode()]).hash[0])
 
